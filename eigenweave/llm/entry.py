@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, mixing, neardup
 
 QUERIES = {
     "op5_mix_sources": mixing.op5_mix_sources,
     "op7_chat_format": chat.op7_chat_format,
+    "op10_near_duplicates": neardup.op10_near_duplicates,
 }
 
 ORACLE_SQL = {
