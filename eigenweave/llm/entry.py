@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neardup
+from . import chat, license, mixing, neardup, pii
 
 QUERIES = {
+    "op2_license_scan": license.op2_license_scan,
+    "op3_pii_scan": pii.op3_pii_scan,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op7_chat_format": chat.op7_chat_format,
     "op10_near_duplicates": neardup.op10_near_duplicates,
