@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+#: Edges per task of a round: small edge tables run in few tasks, whatever the number of shuffle partitions.
+TASK_EDGES = 100_000
+
 
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("m"))
@@ -16,7 +19,7 @@ def _large_star(e: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the least node around it."""
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     m = _least(both).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -34,10 +37,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, seen = checkpoint(e), None
+    n = e.count()
     for _ in range(most_rounds):
-        e = checkpoint(_small_star(_large_star(e)))
+        if n == 0:
+            break
+        tasks = 1 + n // TASK_EDGES
+        e = checkpoint(_small_star(_large_star(e.coalesce(tasks)).coalesce(tasks)).coalesce(tasks))
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now["n"] == 0 or (now["n"], now["h"]) == seen:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = (now["n"], now["h"])
-    raise RuntimeError("components did not settle")
+        n = now["n"]
+        if (n, now["h"]) == seen:
+            break
+        seen = (n, now["h"])
+    else:
+        raise RuntimeError("components did not settle")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -145,7 +145,7 @@ def _verify_pairs(width: int, percent: int, miss: float):
 def _verify_block(width: int, percent: int, miss: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t):
         t = t.combine_chunks()
         reps, roots, own = (t.column(n).to_numpy() for n in ("rep", "root", "own"))
         sig, sets, found = _sig_matrix(t.column("sig").combine_chunks()), {}, []
@@ -207,21 +207,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = lambda k: nodes.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("text").alias(f"text_{k}"))
     pairs = stars.join(side("a"), "a").join(side("b"), "b").select("a", "sig_a", "text_a", "b", "sig_b", "text_b")
     links = checkpoint(pairs.mapInArrow(_verify_pairs(width, percent, miss), "a long, b long"))
-    rest = _outside(nodes, links, block).groupBy("around", "i", "j").applyInArrow(_verify_block(width, percent, miss), "a long, b long")
-    roots = components(links.union(rest)).select(F.col("node").alias("rep"), "root")
+    first = components(links)
+    rest = _outside(nodes, first, block).groupBy("around", "i", "j").applyInArrow(_verify_block(width, percent, miss), "a long, b long")
+    stars_of = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(stars_of.union(rest)).select(F.col("node").alias("rep"), "root")
 
     in_sets = assigned.join(roots, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     alone = sketch.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return in_sets.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _outside(nodes: DataFrame, links: DataFrame, block: int) -> DataFrame:
+def _outside(nodes: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     """Blocks in which what is not in a candidate component's largest linked group meets all of the component.
 
     Component sizes are found first; a component of m documents with r outside gives ceil(r/block) * ceil(m/block)
     groups of two blocks at most.
     """
-    roots = components(links)
     n = nodes.select("rep", "around").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "around", F.coalesce("root", "rep").alias("root"))
     groups = n.groupBy("around", "root").agg(F.count("*").alias("c"))
     shape = groups.groupBy("around").agg(F.sum("c").alias("m"), F.max(F.struct("c", F.col("root").alias("main"))).alias("top")).select("around", "m", (F.col("m") - F.col("top.c")).alias("r"), "top.main").where("r > 0")
