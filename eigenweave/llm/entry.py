@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, license, mixing, neardup, pii
+from . import ann, chat, langid, license, mixing, neardup, pii
 
 QUERIES = {
     "op2_license_scan": license.op2_license_scan,
     "op3_pii_scan": pii.op3_pii_scan,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_language_id": langid.op6_language_id,
     "op7_chat_format": chat.op7_chat_format,
+    "op9_additive_quantisation": ann.op9_additive_quantisation,
     "op10_near_duplicates": neardup.op10_near_duplicates,
 }
 
 ORACLE_SQL = {
     "op5_mix_sources": mixing.OP5_SQL,
+    "op6_language_id": langid.op6_language_id,
     "op7_chat_format": chat.OP7_SQL,
 }
