@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, langid, license, mixing, neardup, pii
+from . import ann, chat, langid, license, lm, mixing, neardup, pii
 
 QUERIES = {
     "op2_license_scan": license.op2_license_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_language_id": langid.op6_language_id,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_lm_score": lm.op8_lm_score,
     "op9_additive_quantisation": ann.op9_additive_quantisation,
     "op10_near_duplicates": neardup.op10_near_duplicates,
 }
