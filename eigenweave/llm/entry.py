@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, chat, langid, license, lm, mixing, neardup, pii
+from . import ann, chat, decontam, langid, license, lm, mixing, neardup, pii
 
 QUERIES = {
     "op2_license_scan": license.op2_license_scan,
     "op3_pii_scan": pii.op3_pii_scan,
+    "op4_decontaminate": decontam.op4_decontaminate,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_language_id": langid.op6_language_id,
     "op7_chat_format": chat.op7_chat_format,
