@@ -18,6 +18,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_mix_sources": mixing.OP5_SQL,
-    "op6_language_id": langid.op6_language_id,
     "op7_chat_format": chat.OP7_SQL,
 }
