@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontam, langid, license, lm, mixing, neardup, pii
+from . import ann, chat, decontam, langid, license, lm, mixing, neardup, pii, warc
 
 QUERIES = {
+    "op1_warc_derivatives": warc.op1_warc_derivatives,
     "op2_license_scan": license.op2_license_scan,
     "op3_pii_scan": pii.op3_pii_scan,
     "op4_decontaminate": decontam.op4_decontaminate,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_warc_derivatives": warc.OP1_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
     "op7_chat_format": chat.OP7_SQL,
 }

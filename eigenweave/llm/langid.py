@@ -191,3 +191,19 @@ def op6_language_id(spark, sf_dir):
     """Null ids hash as the empty string; repeated rows are predicted each; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predict(docs, fit_documents(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: ByteCNN | None, least: float = 0.35, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose language is determined with at least probability `least`."""
+    judge = _predict(model)
+
+    def run(batches):
+        for b in batches:
+            letters = b.column(b.num_columns - 1)
+            own = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(b.schema.get_field_index(text_col)), letters], names=["doc_id", "text", "letters"])
+            for p in judge([own]):
+                good = (p.column(2).to_numpy(zero_copy_only=False) >= least) & (p.column(1).to_numpy(zero_copy_only=False) != UNDETERMINED)
+                yield b.select(list(range(b.num_columns - 1))).filter(pa.array(good))
+
+    marked = docs.withColumn("_letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    return marked.mapInArrow(run, docs.schema)

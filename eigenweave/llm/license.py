@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 from math import ceil, log
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,8 @@ TEMPLATES = (
     ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     ("cc0", "dedicated to the public domain under cc0 1 0", ("cc0 1 0",)),
 )
+#: Words of everyday prose, of little use to rule texts out.
+_PLAIN = frozenset("a and by charge fee forms free hereby in is of or public source the use version with without".split())
 RAREST, FILE_WORDS, AGREE = 6, 32, 0.75
 
 
@@ -65,6 +68,19 @@ def build_index(templates=TEMPLATES) -> tuple[dict[str, float], dict[str, list[t
     return {w: idf[w] for w in postings}, postings, posted
 
 
+def stems(choices: list[set[str]]) -> list[str]:
+    """A small set of words of which each choice has one, greedily."""
+    out: list[str] = []
+    while left := [c for c in choices if not c & set(out)]:
+        out.append(max(sorted(set().union(*left)), key=lambda w: (w not in _PLAIN, sum(w in c for c in left), len(w))))
+    return out
+
+
+def _has_any(lowered: Column, words: list[str]) -> Column:
+    found = [F.contains(lowered, F.lit(w)) for w in words]
+    return F.lit(False) if not found else reduce(lambda a, b: a | b, found)
+
+
 def _any_case(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else re.escape(c) for c in word)
 
@@ -103,8 +119,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     idf, postings, posted = build_index()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    d = d.withColumn("n_words", _n_words(F.col("t")).cast("long")).withColumn("n_base", F.regexp_count("t", F.lit(BASE_PATTERN)).cast("long"))
-    d = d.withColumn("_gate", F.col("t").rlike(_whole(_trie(list(idf)))))
+    # No label without one of its mandatory words: a plain substring search, on a lower-cased copy, rules most texts out
+    # before any costlier pattern runs. Lower-casing beyond A-Z can only let more texts through.
+    d = d.withColumn("n_words", _n_words(F.col("t")).cast("long")).withColumn("_l", F.lower("t"))
+    likely = _has_any(F.col("_l"), stems([set(p.split()) for p, _ in BASE]))
+    d = d.withColumn("n_base", F.when(likely, F.regexp_count("t", F.lit(BASE_PATTERN))).otherwise(0).cast("long"))
+    d = d.withColumn("_gate", _has_any(F.col("_l"), stems([{w for k in ks for w in k.split() if not w.isdigit()} for _, _, ks in TEMPLATES])) & F.col("t").rlike(_whole(_trie(list(idf)))))
 
     some = F.col("n_base") > 0
     pieces, places = F.split("t", BASE_PATTERN, -1), F.regexp_extract_all("t", F.lit(BASE_PATTERN), F.lit(0))
