@@ -44,7 +44,7 @@ class EOFBootstrapper(Model):
         n, k = base["n_samples"], len(base["norms"])
         seed = self.params["seed"]
         seed = int(np.random.default_rng(seed).integers(2**31)) if seed is None else seed
-        placed = indexed(m.rows(), m.keys).select(F.floor(F.col(SID) / ROWS).alias("_b"), SID, X).persist()
+        placed = indexed(m.rows(), m.keys).select(F.floor(F.col(SID) / ROWS).alias("__b"), SID, X).persist()
         sizes = np.full(-(-n // ROWS), ROWS)
         sizes[-1] = n - ROWS * (len(sizes) - 1)
         draws = np.random.default_rng(seed).multinomial(n, sizes / n, size=reps)
@@ -98,7 +98,7 @@ class EOFBootstrapper(Model):
             return pa.table({"r": t.column("r")[:1], "part": pa.array([out.tobytes()], pa.binary())})
 
         kind = "r int, part binary"
-        for q in placed.groupBy("_b").applyInArrow(weigh, kind).mapInArrow(fold, kind).groupBy("r").applyInArrow(add, kind).collect():  # a small matrix a replicate
+        for q in placed.groupBy("__b").applyInArrow(weigh, kind).mapInArrow(fold, kind).groupBy("r").applyInArrow(add, kind).collect():  # a small matrix a replicate
             v = np.frombuffer(q["part"])
             yield q["r"], v[: p * p].reshape(p, p), v[p * p :]
 
@@ -129,8 +129,8 @@ class EOFBootstrapper(Model):
         data = self._ready()
         reps, p, k = data["components"].shape
         v = data["components"] / (data["norms"] if normalized else 1)
-        flat = self.model.input.times(np.moveaxis(v, 0, 1).reshape(p, reps * k)).long("_k")
-        number = F.col("_k") - 1
+        flat = self.model.input.times(np.moveaxis(v, 0, 1).reshape(p, reps * k)).long("__k")
+        number = F.col("__k") - 1
         return flat.select(*self.model.preprocessor.sample_dims, (F.floor(number / k) + 1).cast("int").alias("n"), (number % k + 1).cast("int").alias("mode"), "value")
 
     def _parts(self, save_data: bool) -> dict:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.linalg import herm, inverse
-from ..plans.matrix import RowMatrix
+from ..plans.matrix import RowMatrix, X
 from ..plans.series import embed, lagged_products, means, shifted
 from ..plans.svd import check_modes, decompose
 from .base import SingleSet, by_mode, row_amplitude, row_phase
@@ -107,9 +108,7 @@ class POP(SingleSet):
 
     @staticmethod
     def _last_row(x: RowMatrix) -> np.ndarray:
-        from pyspark.sql import functions as F
-
-        row = x.rows().orderBy(*[F.col(k).desc_nulls_last() for k in x.keys]).select("x").first()
+        row = x.rows().orderBy(*[F.col(k).desc_nulls_last() for k in x.keys]).select(X).first()
         return np.array(row[0])
 
     @staticmethod

@@ -56,7 +56,7 @@ class GWPCA(SingleSet):
         if not isinstance(self.params["n_modes"], int):
             raise ValueError("GWPCA needs a number of modes")
         x, y = self._coords(m.keys)
-        placed = indexed(m.rows(), m.keys).withColumns({"_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")})
+        placed = indexed(m.rows(), m.keys).withColumns({"__px": F.col(x).cast("double"), "__py": F.col(y).cast("double")})
         n = placed.count()
         placed = self._blocks(placed, n).persist()
         self._result = self._local(placed, m.p).persist()
@@ -67,23 +67,23 @@ class GWPCA(SingleSet):
         """Add a block number `_b`, the same for rows that are near one another."""
         p = self.params
         if p["kernel"] != "bisquare":
-            return placed.withColumn("_b", F.floor(F.col(SID) / BLOCK).cast("long"))
+            return placed.withColumn("__b", F.floor(F.col(SID) / BLOCK).cast("long"))
         size = p["bandwidth"] / 111.0 if p["metric"] == "haversine" else p["bandwidth"]  # a degree of latitude is 111 km
-        cell = placed.withColumn("_c", F.xxhash64(F.floor(F.col("_x") / size), F.floor(F.col("_y") / size)))
-        crowd = cell.groupBy("_c").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("_parts"))
-        return cell.join(crowd, "_c").withColumn("_b", F.xxhash64("_c", F.pmod(F.xxhash64(SID), F.col("_parts")))).drop("_c", "_parts")
+        cell = placed.withColumn("__c", F.xxhash64(F.floor(F.col("__px") / size), F.floor(F.col("__py") / size)))
+        crowd = cell.groupBy("__c").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("__parts"))
+        return cell.join(crowd, "__c").withColumn("__b", F.xxhash64("__c", F.pmod(F.xxhash64(SID), F.col("__parts")))).drop("__c", "__parts")
 
     def _pairs(self, packed: DataFrame) -> DataFrame:
         """(a, b): blocks of which some points can be in reach of each other, by their boxes."""
         p = self.params
-        boxes = packed.select("_b", "x0", "x1", "y0", "y1")
+        boxes = packed.select("__b", "x0", "x1", "y0", "y1")
         a = boxes.select(*[F.col(c).alias(f"a{c}") for c in boxes.columns])
         if p["kernel"] != "bisquare":  # a kernel without an end needs all rows at every row, in blocks
-            return a.join(F.broadcast(boxes.select("_b")), F.lit(True)).select("a_b", "_b")
+            return a.join(F.broadcast(boxes.select("__b")), F.lit(True)).select("a__b", "__b")
         if p["metric"] == "euclidean":
             h = F.lit(p["bandwidth"])
             near = (F.col("ax0") - h <= F.col("x1")) & (F.col("ax1") + h >= F.col("x0")) & (F.col("ay0") - h <= F.col("y1")) & (F.col("ay1") + h >= F.col("y0"))
-            return a.join(boxes, near).select("a_b", "_b")
+            return a.join(boxes, near).select("a__b", "__b")
         dlat = bounding_halfwidth(0.0, p["bandwidth"])[1]
         top = F.greatest(F.abs("ay0"), F.abs("ay1"))
         angle = min(p["bandwidth"] / 6371.0, math.pi / 2)
@@ -92,7 +92,7 @@ class GWPCA(SingleSet):
         gap = F.greatest(F.col("x0") - F.col("ax1"), F.col("ax0") - F.col("x1"))
         round_gap = F.least(gap, F.lit(360.0) - (F.greatest("x1", "ax1") - F.least("x0", "ax0")))
         near = (F.col("ay0") - dlat <= F.col("y1")) & (F.col("ay1") + dlat >= F.col("y0")) & ((gap <= wide) | (round_gap <= wide))
-        return a.join(boxes, near).select("a_b", "_b")
+        return a.join(boxes, near).select("a__b", "__b")
 
     def _local(self, placed: DataFrame, p: int) -> DataFrame:
         par = self.params
@@ -101,13 +101,13 @@ class GWPCA(SingleSet):
         def pack(key, t):
             t = t.combine_chunks().sort_by(SID)
             b = t.to_batches()[0]
-            xy = np.stack([t.column(c).to_numpy() for c in ("_x", "_y")], axis=1)
-            return pa.table({"_b": pa.array([key[0].as_py()], pa.int64()), "ids": [t.column(SID).to_numpy().tobytes()], "xy": [xy.tobytes()], "v": [np.ascontiguousarray(block(b, p, False)).tobytes()], "x0": [xy[:, 0].min()], "x1": [xy[:, 0].max()], "y0": [xy[:, 1].min()], "y1": [xy[:, 1].max()]})
+            xy = np.stack([t.column(c).to_numpy() for c in ("__px", "__py")], axis=1)
+            return pa.table({"__b": pa.array([key[0].as_py()], pa.int64()), "ids": [t.column(SID).to_numpy().tobytes()], "xy": [xy.tobytes()], "v": [np.ascontiguousarray(block(b, p, False)).tobytes()], "x0": [xy[:, 0].min()], "x1": [xy[:, 0].max()], "y0": [xy[:, 1].min()], "y1": [xy[:, 1].max()]})
 
-        kinds = "_b long, ids binary, xy binary, v binary, x0 double, x1 double, y0 double, y1 double"
-        packed = placed.groupBy("_b").applyInArrow(pack, kinds).persist()
-        other = packed.select("_b", F.col("xy").alias("bxy"), F.col("v").alias("bv"))
-        met = self._pairs(packed).join(other, "_b").drop("_b").join(packed.select(F.col("_b").alias("a_b"), "xy"), "a_b")
+        kinds = "__b long, ids binary, xy binary, v binary, x0 double, x1 double, y0 double, y1 double"
+        packed = placed.groupBy("__b").applyInArrow(pack, kinds).persist()
+        other = packed.select("__b", F.col("xy").alias("bxy"), F.col("v").alias("bv"))
+        met = self._pairs(packed).join(other, "__b").drop("__b").join(packed.select(F.col("__b").alias("a__b"), "xy"), "a__b")
 
         def moments(batches):
             for batch in batches:
@@ -117,9 +117,9 @@ class GWPCA(SingleSet):
                     w = kernel_weight_np(distances_np(a, b, metric), width, kernel)
                     square = (v[:, :, None] * v[:, None, :]).reshape(len(v), -1)
                     out = np.concatenate([w.sum(1, keepdims=True), w @ v, w @ square], axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array([r["a_b"]], pa.int64()), pa.array([out.tobytes()], pa.binary())], names=["a_b", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r["a__b"]], pa.int64()), pa.array([out.tobytes()], pa.binary())], names=["a__b", "part"])
 
-        schema = StructType([StructField(SID, LongType()), StructField("_k", IntegerType()), StructField("component", ArrayType(DoubleType())), StructField("variance", DoubleType()), StructField("ratio", DoubleType())])
+        schema = StructType([StructField(SID, LongType()), StructField("__k", IntegerType()), StructField("component", ArrayType(DoubleType())), StructField("variance", DoubleType()), StructField("ratio", DoubleType())])
 
         def solve(left, right):
             out = None
@@ -139,18 +139,18 @@ class GWPCA(SingleSet):
             with np.errstate(divide="ignore", invalid="ignore"):
                 ratio = (values[:, :k] / total[:, None]).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(comp) + 1, dtype=np.int32) * p), pa.array(comp.ravel()))
-            return pa.table({SID: pa.array(np.repeat(ids, k)), "_k": pa.array(np.tile(np.arange(1, k + 1), len(ids)).astype(np.int32)), "component": lists, "variance": pa.array(variance), "ratio": pa.array(ratio)})
+            return pa.table({SID: pa.array(np.repeat(ids, k)), "__k": pa.array(np.tile(np.arange(1, k + 1), len(ids)).astype(np.int32)), "component": lists, "variance": pa.array(variance), "ratio": pa.array(ratio)})
 
-        sums = met.mapInArrow(moments, "a_b long, part binary")
-        owners = packed.select(F.col("_b").alias("a_b"), "ids")
-        return owners.groupBy("a_b").cogroup(sums.groupBy("a_b")).applyInArrow(solve, schema)
+        sums = met.mapInArrow(moments, "a__b long, part binary")
+        owners = packed.select(F.col("__b").alias("a__b"), "ids")
+        return owners.groupBy("a__b").cogroup(sums.groupBy("a__b")).applyInArrow(solve, schema)
 
     def _table(self, column: str) -> DataFrame:
         self._ready()
         if getattr(self, "_result", None) is None:
             raise ValueError("the model was saved without its results")
         keys = self.preprocessor.sample_dims
-        return self._keys.join(self._result, SID).select(*keys, F.col("_k").alias("mode"), F.col(column).alias("value"))
+        return self._keys.join(self._result, SID).select(*keys, F.col("__k").alias("mode"), F.col(column).alias("value"))
 
     def explained_variance(self) -> DataFrame:
         return self._table("variance")
@@ -160,24 +160,24 @@ class GWPCA(SingleSet):
 
     def components(self, normalized: bool = True):
         """Long: sample dims, feature dims, mode, value; one table a field."""
-        rows = self._table("component").select(*self.preprocessor.sample_dims, "mode", F.posexplode("value").alias("_f", "value"))
+        rows = self._table("component").select(*self.preprocessor.sample_dims, "mode", F.posexplode("value").alias("__f", "value"))
         out = []
         for b in self.preprocessor.blocks:
-            names = self.preprocessor._feature_frame(b).where("_f >= 0")
+            names = self.preprocessor._feature_frame(b).where("__f >= 0")
             cols = [*self.preprocessor.sample_dims, *(["variable"] if b.is_dataset else []), *b.feature_dims, "mode", "value"]
-            out.append(rows.join(F.broadcast(names), "_f").select(*cols))
+            out.append(rows.join(F.broadcast(names), "__f").select(*cols))
         return self.preprocessor._one(out)
 
     def largest_locally_weighted_components(self) -> DataFrame:
         """For every sample and mode, the coordinates of the feature of greatest loading in modulus."""
-        top = self._table("component").select(*self.preprocessor.sample_dims, "mode", F.transform("value", lambda v: F.abs(v)).alias("_a"))
-        top = top.withColumn("_f", (F.array_position("_a", F.array_max("_a")) - 1).cast("int")).drop("_a")
+        top = self._table("component").select(*self.preprocessor.sample_dims, "mode", F.transform("value", lambda v: F.abs(v)).alias("__a"))
+        top = top.withColumn("__f", (F.array_position("__a", F.array_max("__a")) - 1).cast("int")).drop("__a")
         names = None
         for b in self.preprocessor.blocks:
-            own = self.preprocessor._feature_frame(b).where("_f >= 0")
+            own = self.preprocessor._feature_frame(b).where("__f >= 0")
             names = own if names is None else names.unionByName(own, allowMissingColumns=True)
         single = not any(b.is_dataset for b in self.preprocessor.blocks)
-        out = top.join(F.broadcast(names), "_f").drop("_f")
+        out = top.join(F.broadcast(names), "__f").drop("__f")
         return out.drop("variable") if single else out
 
     def scores(self, normalized: bool = False):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-X, XI = "x", "xi"
+X, XI = "__x", "__xi"
 ROWS, CHUNK_BYTES = 4096, 8 << 20
 #: A Gram matrix of at most so many columns is summed whole (128 MB); wider matrices are sketched.
 MOST_GRAM = 4096
@@ -173,17 +173,17 @@ class RowMatrix:
         x = F.coalesce(F.col(X), empty())
         if self.is_complex:
             cells = F.arrays_zip(x.alias("re"), F.coalesce(F.col(XI), empty()).alias("im"))
-            return self.df.select(*self.keys, F.posexplode(cells).alias("_k", "_v")).select(*self.keys, (F.col("_k") + first).cast("int").alias(column), F.col("_v.re").alias("re"), F.col("_v.im").alias("im"))
-        return self.df.select(*self.keys, F.posexplode(x).alias("_k", "value")).select(*self.keys, (F.col("_k") + first).cast("int").alias(column), "value")
+            return self.df.select(*self.keys, F.posexplode(cells).alias("__k", "__v")).select(*self.keys, (F.col("__k") + first).cast("int").alias(column), F.col("__v.re").alias("re"), F.col("__v.im").alias("im"))
+        return self.df.select(*self.keys, F.posexplode(x).alias("__k", "value")).select(*self.keys, (F.col("__k") + first).cast("int").alias(column), "value")
 
 
 def to_matrix(df: DataFrame, keys: Sequence[str], number: str, k: int, is_complex: bool) -> RowMatrix:
     """Long scores (keys, 1-based number, value or re, im) as a matrix of k columns; absent numbers are 0."""
     cells = F.struct(F.col(number).cast("int").alias("k"), F.col("re" if is_complex else "value").alias("a"), *([F.col("im").alias("b")] if is_complex else []))
-    packed = df.groupBy(*keys).agg(F.collect_list(F.when(F.col("re" if is_complex else "value").isNotNull(), cells)).alias("_c"))
-    by = F.map_from_entries(F.transform("_c", lambda c: F.struct(c["k"], c["a"])))
+    packed = df.groupBy(*keys).agg(F.collect_list(F.when(F.col("re" if is_complex else "value").isNotNull(), cells)).alias("__c"))
+    by = F.map_from_entries(F.transform("__c", lambda c: F.struct(c["k"], c["a"])))
     slots = F.sequence(F.lit(1), F.lit(k))
     x = F.transform(slots, lambda j: F.coalesce(F.element_at(by, j), F.lit(0.0)))
-    some = F.size("_c") > 0
-    out = packed.select(*keys, F.when(some, x).alias(X), *([F.when(some, F.transform(slots, lambda j: F.coalesce(F.element_at(F.map_from_entries(F.transform("_c", lambda c: F.struct(c["k"], c["b"]))), j), F.lit(0.0)))).alias(XI)] if is_complex else []))
+    some = F.size("__c") > 0
+    out = packed.select(*keys, F.when(some, x).alias(X), *([F.when(some, F.transform(slots, lambda j: F.coalesce(F.element_at(F.map_from_entries(F.transform("__c", lambda c: F.struct(c["k"], c["b"]))), j), F.lit(0.0)))).alias(XI)] if is_complex else []))
     return RowMatrix(out, tuple(keys), k, is_complex)

@@ -142,7 +142,7 @@ class Preprocessor:
         """The features with their numbers, -1 for those without data."""
         number = np.full(b.features.num_rows, -1, np.int32)
         number[b.valid] = np.arange(b.sizes[1]) + b.sizes[0]
-        return frame(self.spark, b.features.append_column("_f", pa.array(number)), StructType([*b.schema.fields, StructField("_f", IntegerType())]))
+        return frame(self.spark, b.features.append_column("__f", pa.array(number)), StructType([*b.schema.fields, StructField("__f", IntegerType())]))
 
     def _matrix(self, fields: list[Field], fitting: bool = True) -> RowMatrix:
         cells = None
@@ -150,21 +150,21 @@ class Preprocessor:
             long = f.long()
             if self.is_complex and not f.is_complex:
                 long = long.withColumn(IM, F.lit(0.0))
-            names = self._feature_frame(b).select(*[F.col(c).alias(f"_{c}") for c in ("variable", *b.feature_dims)], "_f")
-            on = [same(F.col(c), F.col(f"_{c}")) for c in ("variable", *b.feature_dims)]
+            names = self._feature_frame(b).select(*[F.col(c).alias(f"__dim_{c}") for c in ("variable", *b.feature_dims)], "__f")
+            on = [same(F.col(c), F.col(f"__dim_{c}")) for c in ("variable", *b.feature_dims)]
             joined = long.join(F.broadcast(names), on, "inner" if fitting else "left")  # at most MOST_FEATURES rows
-            part = joined.select(*self.sample_dims, "_f", RE, *([IM] if self.is_complex else []))
+            part = joined.select(*self.sample_dims, "__f", RE, *([IM] if self.is_complex else []))
             cells = part if cells is None else cells.unionByName(part)
-        known = F.col(RE).isNotNull() & (F.isnull("_f") | (F.col("_f") >= 0)) if fitting else F.col(RE).isNotNull()
-        cell = F.struct(F.coalesce("_f", F.lit(-1)).alias("f"), F.col(RE).alias("a"), *([F.coalesce(IM, F.lit(0.0)).alias("b")] if self.is_complex else []))
-        packed = cells.groupBy(*self.sample_dims).agg(F.collect_list(F.when(known, cell)).alias("_c"))
+        known = F.col(RE).isNotNull() & (F.isnull("__f") | (F.col("__f") >= 0)) if fitting else F.col(RE).isNotNull()
+        cell = F.struct(F.coalesce("__f", F.lit(-1)).alias("f"), F.col(RE).alias("a"), *([F.coalesce(IM, F.lit(0.0)).alias("b")] if self.is_complex else []))
+        packed = cells.groupBy(*self.sample_dims).agg(F.collect_list(F.when(known, cell)).alias("__c"))
         out = RowMatrix(packed, self.sample_dims, self.p, self.is_complex)
         offset, factor = self.factors()
         p, is_complex, keys, strict = self.p, self.is_complex, self.sample_dims, self.check_nans
 
         def run(batches):
             for b in slices(batches, max(1, min(4096, (64 << 20) // max(1, 8 * p)))):
-                c = b.column(b.schema.get_field_index("_c"))
+                c = b.column(b.schema.get_field_index("__c"))
                 n = np.diff(c.offsets.to_numpy())
                 flat = c.flatten()
                 row, f = np.repeat(np.arange(len(n)), n), flat.field("f").to_numpy(zero_copy_only=False)
@@ -205,8 +205,8 @@ class Preprocessor:
         for f, b in zip(fields, self.blocks, strict=True):
             cols = ["variable", *b.feature_dims]
             got = f.long().groupBy(*cols).agg(F.count(RE).alias("_n"))
-            want = self._feature_frame(b).select(*[F.col(c).alias(f"_{c}") for c in cols], (F.col("_f") >= 0).cast("int").alias("_valid"))
-            both = got.join(F.broadcast(want), [same(F.col(c), F.col(f"_{c}")) for c in cols], "full")
+            want = self._feature_frame(b).select(*[F.col(c).alias(f"__dim_{c}") for c in cols], (F.col("__f") >= 0).cast("int").alias("_valid"))
+            both = got.join(F.broadcast(want), [same(F.col(c), F.col(f"__dim_{c}")) for c in cols], "full")
             odd = both.agg(F.count_if(F.col("_n").isNull() | F.col("_valid").isNull()).alias("other"), F.count_if((F.col("_n") > 0) != (F.col("_valid") == 1)).alias("gaps"), F.count("*").alias("n")).first()
             if odd["other"]:
                 raise ValueError(f"{odd['other']} feature coordinates differ from those of the fit")
@@ -255,11 +255,11 @@ class Preprocessor:
                 yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keys], *arrays(x if result_complex else x.real, result_complex)], names=[*keys, X, *([XI] if result_complex else [])])
 
         back.df = m.rows().mapInArrow(run, back.schema())
-        long = back.long("_f", first=0)
+        long = back.long("__f", first=0)
         out = []
         for b in self.blocks:
-            names = self._feature_frame(b).where("_f >= 0")
-            got = long.where((F.col("_f") >= b.sizes[0]) & (F.col("_f") < b.sizes[0] + b.sizes[1])).join(F.broadcast(names), "_f").drop("_f")
+            names = self._feature_frame(b).where("__f >= 0")
+            got = long.where((F.col("__f") >= b.sizes[0]) & (F.col("__f") < b.sizes[0] + b.sizes[1])).join(F.broadcast(names), "__f").drop("__f")
             cols = [*keys, *([] if not b.is_dataset else ["variable"]), *b.feature_dims, *(["re", "im"] if result_complex else ["value"])]
             out.append(got.select(*cols))
         return self._one(out)
@@ -268,7 +268,7 @@ class Preprocessor:
     def state(self) -> dict:
         blocks = []
         for b in self.blocks:
-            blocks.append({"variables": b.variables, "dims": b.dims, "feature_dims": b.feature_dims, "is_dataset": b.is_dataset, "schema": b.schema.json(), "sizes": b.sizes, "arrays": {n: getattr(b, n) for n in ("count", "mean", "std", "weight")}, "features": self._feature_frame(b).drop("_f")})
+            blocks.append({"variables": b.variables, "dims": b.dims, "feature_dims": b.feature_dims, "is_dataset": b.is_dataset, "schema": b.schema.json(), "sizes": b.sizes, "arrays": {n: getattr(b, n) for n in ("count", "mean", "std", "weight")}, "features": self._feature_frame(b).drop("__f")})
         return {"params": {n: getattr(self, n) for n in ("with_center", "with_std", "with_coslat", "check_nans", "sample_dims", "many", "is_complex")}, "blocks": blocks}
 
     @classmethod

@@ -20,7 +20,7 @@ _SPAN = 1024
 
 
 def positions(m: RowMatrix) -> DataFrame:
-    """Rows that take part, with `_sid`, their position in the order of the keys."""
+    """Rows that take part, with `__sid`, their position in the order of the keys."""
     return indexed(m.rows(), m.keys)
 
 
@@ -36,31 +36,31 @@ def analytic_rows(m: RowMatrix, padding: str | None = "exp", decay: float = 0.2)
     n = placed.count()
     if n > MOST_SERIES:
         raise ValueError(f"{n} samples are more than the {MOST_SERIES} of which one series may consist")
-    spans = placed.withColumn("_b", F.floor(F.col(SID) / _SPAN))
+    spans = placed.withColumn("__b", F.floor(F.col(SID) / _SPAN))
 
     def transpose(t):
         t = t.combine_chunks().sort_by(SID)
         x = block(t.to_batches()[0], p, False)
-        return pa.table({"_f": pa.array(np.arange(p, dtype=np.int32)), "_b": pa.array([t.column("_b")[0].as_py()] * p, pa.int64()), "v": pa.array([c.tobytes() for c in np.ascontiguousarray(x.T)], pa.binary())})
+        return pa.table({"_f": pa.array(np.arange(p, dtype=np.int32)), "__b": pa.array([t.column("__b")[0].as_py()] * p, pa.int64()), "v": pa.array([c.tobytes() for c in np.ascontiguousarray(x.T)], pa.binary())})
 
     def transform(t):
-        t = t.sort_by("_b")
+        t = t.sort_by("__b")
         pieces = [np.frombuffer(v.as_py()) for v in t.column("v")]
         y = hilbert(np.concatenate(pieces), padding, decay)
         cuts = np.split(y, np.cumsum([len(v) for v in pieces])[:-1])
-        return pa.table({"_f": t.column("_f"), "_b": t.column("_b"), "v": pa.array([c.tobytes() for c in cuts], pa.binary())})
+        return pa.table({"_f": t.column("_f"), "__b": t.column("__b"), "v": pa.array([c.tobytes() for c in cuts], pa.binary())})
 
     out_schema = StructType([StructField(SID, placed.schema[SID].dataType), StructField(X, ArrayType(DoubleType())), StructField(XI, ArrayType(DoubleType()))])
 
     def restore(t):
         t = t.sort_by("_f")
         y = np.stack([np.frombuffer(v.as_py(), complex) for v in t.column("v")], axis=1)
-        first = t.column("_b")[0].as_py() * _SPAN
+        first = t.column("__b")[0].as_py() * _SPAN
         return pa.table([pa.array(np.arange(first, first + len(y))), *arrays(y, True)], names=[SID, X, XI])
 
-    pieces = spans.select("_b", SID, X).groupBy("_b").applyInArrow(transpose, "_f int, _b long, v binary")
-    series = pieces.groupBy("_f").applyInArrow(transform, "_f int, _b long, v binary")
-    rows = series.groupBy("_b").applyInArrow(restore, out_schema)
+    pieces = spans.select("__b", SID, X).groupBy("__b").applyInArrow(transpose, "_f int, __b long, v binary")
+    series = pieces.groupBy("_f").applyInArrow(transform, "_f int, __b long, v binary")
+    rows = series.groupBy("__b").applyInArrow(restore, out_schema)
     return RowMatrix(placed.select(SID, *keys).join(rows, SID).select(*keys, X, XI), keys, p, True)
 
 
@@ -73,7 +73,7 @@ def lagged_products(m: RowMatrix, lags: Sequence[int]) -> dict[int, tuple[int, n
     def work(t):
         t = t.combine_chunks().sort_by(SID)
         b = t.to_batches()[0]
-        x, own = block(b, p, is_complex), t.column("_own").to_numpy().astype(bool)
+        x, own = block(b, p, is_complex), t.column("__own").to_numpy().astype(bool)
         mine = int(own.sum())
         parts = []
         for lag in lags:
@@ -98,7 +98,7 @@ def lagged_products(m: RowMatrix, lags: Sequence[int]) -> dict[int, tuple[int, n
         return pa.table({"lag": t.column("lag")[:1], "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "part": pa.array([total.tobytes()], pa.binary())})
 
     kind = "lag int, n long, part binary"
-    found = groups.groupBy("_g").applyInArrow(work, kind).mapInArrow(fold, kind).groupBy("lag").applyInArrow(add, kind).collect()  # one small matrix a lag
+    found = groups.groupBy("__g").applyInArrow(work, kind).mapInArrow(fold, kind).groupBy("lag").applyInArrow(add, kind).collect()  # one small matrix a lag
     return {r["lag"]: (r["n"], np.frombuffer(r["part"], dtype).reshape(p, p)) for r in found}
 
 
@@ -112,13 +112,13 @@ def embed(m: RowMatrix, copies: int, tau: int) -> RowMatrix:
     def work(t):
         t = t.combine_chunks().sort_by(SID)
         b = t.to_batches()[0]
-        x, mine = block(b, p, is_complex), int(t.column("_own").to_numpy().astype(bool).sum())
+        x, mine = block(b, p, is_complex), int(t.column("__own").to_numpy().astype(bool).sum())
         full = max(0, min(mine, len(x) - reach))
         wide = np.concatenate([x[k * tau : k * tau + full] for k in range(copies)], axis=1)
         at = pa.array(np.arange(mine), pa.int64(), mask=np.arange(mine) >= full)
         return pa.table([*[t.column(k).slice(0, mine) for k in keys], *[c.take(at) for c in arrays(wide, is_complex)]], names=[*keys, X, *([XI] if is_complex else [])])
 
-    out.df = groups.groupBy("_g").applyInArrow(work, out.schema())
+    out.df = groups.groupBy("__g").applyInArrow(work, out.schema())
     return out
 
 

@@ -30,7 +30,7 @@ def transform_stream(model: SingleSet, rows: DataFrame, keys: Sequence[str], fea
 
     def run(batches):
         for b in slices(batches):
-            x = b.column(b.schema.get_field_index("_x"))
+            x = b.column(b.schema.get_field_index("__x"))
             known = x.is_valid()
             good = known.to_numpy(zero_copy_only=False)
             v = x.filter(known).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
@@ -40,9 +40,9 @@ def transform_stream(model: SingleSet, rows: DataFrame, keys: Sequence[str], fea
 
     x = F.col(features).cast("array<double>")
     whole = (F.size(x) == p) & F.forall(x, lambda c: F.coalesce(~F.isnan(c), F.lit(False)))
-    return rows.select(*keys, F.when(whole, x).alias("_x")).mapInArrow(run, schema)
+    return rows.select(*keys, F.when(whole, x).alias("__x")).mapInArrow(run, schema)
 
 
 def window_fields(events: DataFrame, time: str, feature: Sequence[str], value: str, width: str, late: str) -> DataFrame:
     """Events summed by tumbling window and feature, with a watermark: the long cells that a model's `transform` takes from each micro-batch."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width).alias("_w"), *feature).agg(F.sum(value).alias("value")).select(F.col("_w.start").alias(time), *feature, "value")
+    return events.withWatermark(time, late).groupBy(F.window(time, width).alias("__w"), *feature).agg(F.sum(value).alias("value")).select(F.col("__w.start").alias(time), *feature, "value")
