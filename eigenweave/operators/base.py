@@ -97,7 +97,10 @@ class Model:
     def _restore(self, parts: dict) -> None:
         pass
 
-    def save(self, path: str, overwrite: bool = False, save_data: bool = False) -> None:
+    def save(self, path: str, overwrite: bool = False, save_data: bool = False, engine: str = "parquet") -> None:
+        """Write the model; without `save_data` the input is left out and only new data can be transformed."""
+        if engine != "parquet":
+            raise ValueError(f"models are stored as parquet, not {engine!r}")
         write_state(self._session(), self.serialize(save_data), path, overwrite)
 
     def _session(self) -> SparkSession:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.linalg import explained_modes, herm, matrix_power, signs
 from ..functions.stats import corrected, p_values
 from ..plans.field import as_dims
-from ..plans.matrix import MOST_GRAM, XI, RowMatrix, X, to_matrix
+from ..plans.matrix import MOST_GRAM, XI, RowMatrix, to_matrix
+from ..plans.matrix import X as REAL
 from ..plans.order import SID, indexed
 from ..plans.preprocess import Preprocessor
 from ..plans.series import analytic_rows
@@ -86,12 +87,12 @@ class CPCCA(Model):
         self.sides = [Side(Preprocessor(True, both["standardize"][i], both["use_coslat"][i], both["check_nans"][i])) for i in (0, 1)]
 
     # -- fit ----------------------------------------------------------------------------------------------------------
-    def fit(self, x, y, dim, weights_x=None, weights_y=None):
+    def fit(self, X, Y, dim, weights_X=None, weights_Y=None):  # noqa: N803
         """Fit to two fields with as many samples; `dim` names the sample dims of both."""
         dims = as_dims(dim)
 
         def work():
-            for i, (side, data, weights) in enumerate(zip(self.sides, (x, y), (weights_x, weights_y), strict=True)):
+            for i, (side, data, weights) in enumerate(zip(self.sides, (X, Y), (weights_X, weights_Y), strict=True)):
                 m = side.preprocessor.fit(data, dims, weights)
                 self.spark = side.preprocessor.spark
                 self._reduce(side, m, i)
@@ -122,17 +123,17 @@ class CPCCA(Model):
 
         def side(m: RowMatrix, name: str) -> DataFrame:
             placed = indexed(m.rows(), m.keys)
-            cols = [F.col(SID), F.col(X).alias(f"{name}{X}")]
+            cols = [F.col(SID), F.col(REAL).alias(f"{name}{REAL}")]
             if is_complex:
                 cols.append((F.col(XI) if m.is_complex else F.array_repeat(F.lit(0.0), m.p)).alias(f"{name}{XI}"))
             return placed.select(*cols)
 
         both = side(a, "a").join(side(b, "b"), SID, "full").persist()
-        odd = both.where(F.col(f"a{X}").isNull() | F.col(f"b{X}").isNull()).limit(1).count()
+        odd = both.where(F.col(f"a{REAL}").isNull() | F.col(f"b{REAL}").isNull()).limit(1).count()
         if odd:
             both.unpersist()
             raise ValueError("both sets must have the same number of samples")
-        parts = [F.concat(F.col(f"a{c}"), F.col(f"b{c}")).alias(c) for c in ([X, XI] if is_complex else [X])]
+        parts = [F.concat(F.col(f"a{c}"), F.col(f"b{c}")).alias(c) for c in ([REAL, XI] if is_complex else [REAL])]
         n, gram = RowMatrix(both.select(*parts), (), a.p + b.p, is_complex).moments()
         both.unpersist()
         return n, gram[: a.p, : a.p], gram[a.p :, a.p :], gram[: a.p, a.p :]
@@ -193,25 +194,25 @@ class CPCCA(Model):
     def components(self, normalized: bool = True) -> tuple:
         return tuple(s.preprocessor.components(v) for s, v in zip(self.sides, self._pattern_pair(normalized), strict=True))
 
-    def transform(self, x=None, y=None, normalized: bool = False):
+    def transform(self, X=None, Y=None, normalized: bool = False):  # noqa: N803
         """Scores of further samples of either set or both."""
         data = self._ready()
-        if x is None and y is None:
-            raise ValueError("give x, y or both")
+        if X is None and Y is None:
+            raise ValueError("give X, Y or both")
         out = []
-        for k, (side, d) in enumerate(zip(self.sides, (x, y), strict=True), 1):
+        for k, (side, d) in enumerate(zip(self.sides, (X, Y), strict=True), 1):
             if d is not None:
                 w = side.basis @ data[f"weights{k}"]
                 out.append(side.preprocessor.transform(d).times(w / data[f"norm{k}"] if normalized else w).long())
         return out[0] if len(out) == 1 else out
 
-    def inverse_transform(self, x: DataFrame | None = None, y: DataFrame | None = None):
+    def inverse_transform(self, X: DataFrame | None = None, Y: DataFrame | None = None):  # noqa: N803
         """Data of either set or both from scores."""
         data = self._ready()
-        if x is None and y is None:
-            raise ValueError("give x, y or both")
+        if X is None and Y is None:
+            raise ValueError("give X, Y or both")
         out = []
-        for k, (side, d) in enumerate(zip(self.sides, (x, y), strict=True), 1):
+        for k, (side, d) in enumerate(zip(self.sides, (X, Y), strict=True), 1):
             if d is not None:
                 q = data[f"components{k}"]
                 m = to_matrix(d, side.preprocessor.sample_dims, "mode", q.shape[1], "re" in d.columns)
@@ -221,14 +222,14 @@ class CPCCA(Model):
 
     _keeps_complex = True
 
-    def predict(self, x) -> DataFrame:
+    def predict(self, X) -> DataFrame:  # noqa: N803
         """Pseudo-scores of the second set from the first one."""
         data = self._ready()
         w1, w2 = data["weights1"], data["weights2"]
         size = np.real(np.einsum("ik,ij,jk->k", w1.conj(), data["cxx"], w1))
         g = herm(w1) @ data["cxy"] @ w2 / size
         side = self.sides[0]
-        return side.preprocessor.transform(x).times(side.basis @ w1 @ g).long()
+        return side.preprocessor.transform(X).times(side.basis @ w1 @ g).long()
 
     # -- measures -----------------------------------------------------------------------------------------------------
     def singular_values(self) -> DataFrame:
@@ -252,11 +253,11 @@ class CPCCA(Model):
         a, b, c = self._score_grams()
         return by_mode(self._session(), np.diag(self._correlation(c, a, b, self.data["n_samples"])).copy())
 
-    def correlation_coefficients_x(self) -> DataFrame:
+    def correlation_coefficients_X(self) -> DataFrame:
         a, _, _ = self._score_grams()
         return by_pair(self._session(), self._correlation(a, a, a, self.data["n_samples"]))
 
-    def correlation_coefficients_y(self) -> DataFrame:
+    def correlation_coefficients_Y(self) -> DataFrame:
         _, b, _ = self._score_grams()
         return by_pair(self._session(), self._correlation(b, b, b, self.data["n_samples"]))
 
@@ -285,13 +286,13 @@ class CPCCA(Model):
         total = np.real(np.trace(c))
         return np.array([1 - np.real(np.trace(herm(r) @ c @ r)) / total for r in (self._residuals(side, k) for k in range(self._modes()))])
 
-    def fraction_variance_x_explained_by_x(self) -> DataFrame:
+    def fraction_variance_X_explained_by_X(self) -> DataFrame:
         return by_mode(self._session(), self._own_fraction(0))
 
-    def fraction_variance_y_explained_by_y(self) -> DataFrame:
+    def fraction_variance_Y_explained_by_Y(self) -> DataFrame:
         return by_mode(self._session(), self._own_fraction(1))
 
-    def fraction_variance_y_explained_by_x(self) -> DataFrame:
+    def fraction_variance_Y_explained_by_X(self) -> DataFrame:
         d = self._ready()
         n = d["n_samples"]
         root = matrix_power(d["cxx"] / (n - 1), -0.5)
@@ -368,10 +369,10 @@ class HilbertCPCCA(ComplexCPCCA):
     def _augment(self, m: RowMatrix, i: int) -> RowMatrix:
         return analytic_rows(m, self.params["padding"][i], self.params["decay_factor"][i])
 
-    def transform(self, x=None, y=None, normalized: bool = False):
+    def transform(self, X=None, Y=None, normalized: bool = False):  # noqa: N803
         raise NotImplementedError("an analytic signal needs the whole series: Hilbert models do not transform")
 
-    def predict(self, x):
+    def predict(self, X):  # noqa: N803
         raise NotImplementedError("an analytic signal needs the whole series: Hilbert models do not predict")
 
 
@@ -380,7 +381,7 @@ class MCA(CPCCA):
 
     _alpha = (1.0, 1.0)
 
-    def covariance_fraction_cd95(self) -> DataFrame:
+    def covariance_fraction_CD95(self) -> DataFrame:
         """Each singular value's share of the sum of those kept."""
         s = np.sqrt(self._ready()["squared_covariance"])
         share = s / s.sum()

@@ -436,7 +436,7 @@ def mca_rotator_covariance(spark, sf_dir):
 @query("cpcca_fractions")
 def cpcca_fractions(spark, sf_dir):
     m = O.CPCCA(2, use_pca=False).fit(*both(spark, sf_dir), "day")
-    named = {"x_by_x": m.fraction_variance_x_explained_by_x(), "y_by_y": m.fraction_variance_y_explained_by_y(), "y_by_x": m.fraction_variance_y_explained_by_x()}
+    named = {"x_by_x": m.fraction_variance_X_explained_by_X(), "y_by_y": m.fraction_variance_Y_explained_by_Y(), "y_by_x": m.fraction_variance_Y_explained_by_X()}
     out = None
     for name, df in named.items():
         part = df.select("mode", F.col("value").alias(name))

@@ -40,7 +40,7 @@ def test_models(fields, xy, kind, alpha):
     flip = np.sign((sx * (a @ ta @ u[:, :2])).sum(0))
     assert np.allclose(sx, a @ ta @ u[:, :2] * flip) and np.allclose(sy, b @ tb @ v[:, :2] * flip)
     assert np.allclose(pivot(m.transform(fields[0]), ["time"]), sx)
-    assert np.allclose(pivot(m.transform(y=fields[1], normalized=True), ["time"]), sy / np.linalg.norm(sy, axis=0))
+    assert np.allclose(pivot(m.transform(Y=fields[1], normalized=True), ["time"]), sy / np.linalg.norm(sy, axis=0))
     # measures, by the residual definitions
     c = a.T @ b / (N - 1)
     total = (c**2).sum()
@@ -55,12 +55,12 @@ def test_models(fields, xy, kind, alpha):
         fy.append(1 - (db**2).sum() / (b**2).sum())
         fyx.append(1 - ((root @ da.T @ db / (N - 1)) ** 2).sum() / ((root @ c) ** 2).sum())
     assert np.allclose(values(m.squared_covariance_fraction()), np.maximum(scf, 0))
-    assert np.allclose(values(m.fraction_variance_x_explained_by_x()), fx)
-    assert np.allclose(values(m.fraction_variance_y_explained_by_y()), fy)
-    assert np.allclose(values(m.fraction_variance_y_explained_by_x()), fyx)
+    assert np.allclose(values(m.fraction_variance_X_explained_by_X()), fx)
+    assert np.allclose(values(m.fraction_variance_Y_explained_by_Y()), fy)
+    assert np.allclose(values(m.fraction_variance_Y_explained_by_X()), fyx)
     r = [np.corrcoef(sx[:, k], sy[:, k])[0, 1] for k in range(2)]
     assert np.allclose(values(m.cross_correlation_coefficients()), np.array(r) * N / (N - 1))
-    assert m.correlation_coefficients_x().count() == 4 and m.correlation_coefficients_y().count() == 4
+    assert m.correlation_coefficients_X().count() == 4 and m.correlation_coefficients_Y().count() == 4
     g = sx.T @ sy / (sx**2).sum(0)[None, :]
     assert np.allclose(pivot(m.predict(fields[0]), ["time"]), sx @ (sx.T @ sy / (sx**2).sum(0)))
     assert g.shape == (2, 2)
@@ -87,7 +87,7 @@ def test_pca_and_float_modes(fields):
     assert np.allclose(values(whole.singular_values()), values(reduced.singular_values()))
     assert np.allclose(pivot(whole.components()[0], ["f"]), pivot(reduced.components()[0], ["f"]))
     assert 1 <= O.MCA(0.9, use_pca=False).fit(*fields, "time").singular_values().count() <= 3
-    share = values(O.MCA(2, use_pca=False).fit(*fields, "time").covariance_fraction_cd95())
+    share = values(O.MCA(2, use_pca=False).fit(*fields, "time").covariance_fraction_CD95())
     assert np.isclose(share.sum(), 1)
 
 
