@@ -1,11 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of the benchmark's words are counted over all passages of the corpus; each item
-   keeps its `item_terms` rarest words as index terms.
-2. The TF-IDF matrix of all corpus passages over those terms, with the items themselves as further rows, is factored by a distributed
-   randomised SVD: partitions add up A'(A Q) for a shared Q, the driver only orthonormalises a terms x rank matrix.
-3. Every passage is projected to the latent space; items at a cosine of `cosine` or more are its candidates.
-4. A candidate is a leak if the longest common subsequence of item and passage covers `verbatim` of the item's
+   keeps its rarest words as index terms: `least_item_terms`, and up to `item_terms` while they are in at most a share `common` of the passages.
+2. The TF-IDF matrix of all corpus passages over those terms, with the items themselves as further rows of `ITEM_MASS` times the
+   corpus's mass, so that they are not lost among its prose, is factored by a distributed randomised SVD: partitions add up A'(A Q) for a
+   shared Q, the driver only orthonormalises a terms x rank matrix. Items are taken `group` at a time, fewer than the rank.
+3. Every passage is projected to the latent space; items at a cosine of `cosine` or more are its candidates (the passage's
+   norm is that of its whole vector, so what the latent space leaves out counts against it).
+4. A candidate whose words can reach the share at all (counted without order) is aligned. It is a leak if the longest common subsequence of item and passage covers `verbatim` of the item's
    words, or `paraphrase` of them while the item's answer (its last sentence) is found too.
 
 Passages are windows of two blocks of `BLOCK` words, one block apart, over whole texts. What is shipped with the plan
@@ -15,6 +17,7 @@ grows with the benchmark (checked against `most_items`), never with the corpus.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +29,7 @@ from . import textkernel as K
 from .common import checkpoint
 
 BLOCK, LEAST_TERMS, SEED = 32, 3, 9
+ITEM_MASS = 10.0
 U = np.uint64
 
 
@@ -132,25 +136,39 @@ class Windows:
 
     def rich(self, least: int) -> np.ndarray:
         """Windows of at least `least` distinct terms."""
+        if not len(self.ids):
+            return np.zeros(0, bool)
         end = np.where(self.has_next, np.r_[self.stops[1:], 0], self.stops)
-        out = end - self.heads >= least
-        for w in np.flatnonzero(out):
-            out[w] = len(set(self.term[self.heads[w] : end[w]].tolist())) >= least
-        return out
+        enough = end - self.heads >= least
+        own, before = enough[self.of], np.r_[False, (enough & self.has_next)[:-1]][self.of]
+        n = int(self.term.max(initial=0)) + 1
+        seen = np.unique(np.concatenate([self.of[own] * n + self.term[own], (self.of[before] - 1) * n + self.term[before]]))
+        return np.bincount(seen // n, minlength=len(self.ids)) >= least
 
     def project(self, basis: np.ndarray, alive: np.ndarray) -> np.ndarray:
-        z = np.add.reduceat(basis[self.term], self.heads, axis=0)
+        z = basis[self.term[self.heads]]
+        size, j = self.stops - self.heads, 1
+        while len(some := np.flatnonzero(size > j)):  # the j-th term of all blocks that have one
+            z[some] += basis[self.term[self.heads[some] + j]]
+            j += 1
         more = np.flatnonzero(self.has_next)
         z[more] += z[more + 1].copy()  # sums of single blocks: the right side is read before any is written
         z[~alive] = 0
         return z
 
+    def norms(self, idf: np.ndarray) -> np.ndarray:
+        """Length of every window's TF-IDF vector."""
+        n = len(idf)
+        before = np.r_[False, self.has_next[:-1]][self.of] if len(self.ids) else np.zeros(0, bool)
+        cells, tf = np.unique(np.concatenate([self.of * n + self.term, (self.of[before] - 1) * n + self.term[before]]), return_counts=True)
+        return np.sqrt(np.bincount(cells // n, (tf * idf[cells % n]) ** 2, minlength=len(self.ids)))
+
     def back(self, z: np.ndarray) -> np.ndarray:
-        """For every entry, the sum of z over the windows that hold it."""
+        """For every block, the sum of z over the windows that hold it."""
         out = z.copy()
         prev = np.flatnonzero(self.has_next) + 1
         out[prev] += z[prev - 1]
-        return out[self.of]
+        return out
 
 
 def _compact(terms: Terms, least: int):
@@ -181,11 +199,11 @@ def _sketch(idf: np.ndarray, q: np.ndarray, least: int, chunk: int):
             for blocks, ks in zip(b.column(0), b.column(1), strict=True):
                 w = Windows(np.frombuffer(blocks.as_py(), np.int64), np.frombuffer(ks.as_py(), np.int32))
                 alive = w.rich(least)
-                add = w.back(w.project(basis, alive)) * idf[w.term][:, None].astype(np.float32)
-                order = np.argsort(w.term, kind="stable")
-                t = w.term[order]
-                heads = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-                total[t[heads]] += np.add.reduceat(add[order], heads, axis=0)
+                z = w.back(w.project(basis, alive))
+                for c in range(0, z.shape[1], 16):
+                    add = np.ascontiguousarray((z[:, c : c + 16][w.of] * idf[w.term][:, None]).T)
+                    for k, v in enumerate(add, c):
+                        total[:, k] += np.bincount(w.term, v, minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(0, len(total), chunk), pa.int64()), pa.array([total[i : i + chunk].tobytes() for i in range(0, len(total), chunk)], pa.binary())], names=["chunk", "part"])
 
     return run
@@ -206,7 +224,7 @@ def _apply_gram(compact: DataFrame, idf: np.ndarray, q: np.ndarray, items: np.nd
     return out + items.T @ (items @ q)
 
 
-def latent_space(compact: DataFrame, idf: np.ndarray, items: np.ndarray, rank: int, least: int, power: int = 1) -> np.ndarray:
+def latent_space(compact: DataFrame, idf: np.ndarray, items: np.ndarray, rank: int, least: int, power: int = 0) -> np.ndarray:
     """Right singular vectors (terms x rank) of the TF-IDF matrix by a randomised range finder with `power` more rounds."""
     rng = np.random.default_rng(SEED)
     q = rng.standard_normal((len(idf), min(len(idf), rank + 8)))
@@ -217,96 +235,154 @@ def latent_space(compact: DataFrame, idf: np.ndarray, items: np.ndarray, rank: i
     return q @ vectors[:, np.argsort(-values)[:rank]]
 
 
-def _search(terms: Terms, idf, basis, latent, items, least, cosine, verbatim, paraphrase, answer):
+@dataclass
+class Space:
+    """A group of items with its index terms and latent space: what every task needs to judge passages."""
+
+    items: list[Item]
+    terms: Terms
+    every: Terms
+    idf: np.ndarray
+    basis: np.ndarray
+    latent: np.ndarray
+    least: int
+    cosine: float
+    verbatim: float
+    paraphrase: float
+    answer: float
+
+    def judge(self, texts: pa.Array) -> dict[tuple[int, int], tuple[float, float, float, int]]:
+        """(row, item) of every leak: the share aligned, the answer's share, the cosine and the first word of the best passage."""
+        scaled = (self.idf[:, None] * self.basis).astype(np.float32)
+        low = min(self.paraphrase, self.verbatim)
+        if not hasattr(self, "_ready"):
+            self._masks = [(place_masks(i.words), len(i.words), place_masks(i.answer), len(i.answer)) for i in self.items]
+            self._holds = np.zeros((len(self.items), len(self.every.hashes)), bool)
+            for n, i in enumerate(self.items):
+                self._holds[n, np.searchsorted(self.every.hashes, i.words)] = True
+            self._ready = True
+        best: dict[tuple[int, int], tuple] = {}
+        for i0, h, first in _pieces(texts):
+            at, k = self.terms.find(h)
+            if not len(at):
+                continue
+            row, block = _blocks(at, first)
+            w = Windows(block, k)
+            alive = w.rich(self.least)
+            if not alive.any():
+                continue
+            known, word = self.every.find(h)
+            size, z = w.norms(self.idf), w.project(scaled, alive)
+            some = np.flatnonzero(alive)
+            for c in range(0, len(some), 4096):
+                part = some[c : c + 4096]
+                cos = z[part] @ self.latent.T / np.maximum(size[part], 1e-12)[:, None]
+                for x, it in zip(*np.nonzero(cos >= self.cosine), strict=True):
+                    head = w.heads[part[x]]
+                    r = int(row[head])
+                    start = int(first[r] + (at[head] - first[r]) // BLOCK * BLOCK)
+                    mask, n, amask, an = self._masks[it]
+                    lo, hi = max(int(first[r]), start - n), min(int(first[r + 1]), start + 2 * BLOCK + n)
+                    a, b = np.searchsorted(known, (lo, hi))
+                    if self._holds[it, word[a:b]].sum() < low * n:  # no order can align as many
+                        continue
+                    near = h[known[a:b]].tolist()
+                    share = lcs_length(mask, n, near) / n
+                    if share < low:
+                        continue
+                    found = lcs_length(amask, an, near) / max(an, 1)
+                    if share >= self.verbatim or share >= self.paraphrase and found >= self.answer:
+                        key = (i0 + r, int(it))
+                        new = (share, found, float(cos[x, it]), start - int(first[r]))
+                        if key not in best or new > best[key]:
+                            best[key] = new
+        return best
+
+
+def _report(space: Space):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer_lcs", pa.float64()), ("first_word", pa.int64())])
-    scaled = (idf[:, None] * basis).astype(np.float32)
-    masks = [(place_masks(i.words), len(i.words), place_masks(i.answer), len(i.answer)) for i in items]
 
     def run(batches):
         for b in batches:
-            best: dict[tuple[int, int], tuple] = {}
-            for i0, h, first in _pieces(b.column(1)):
-                at, k = terms.find(h)
-                if not len(at):
-                    continue
-                row, block = _blocks(at, first)
-                w = Windows(block, k)
-                alive = np.flatnonzero(w.rich(least))
-                for c in range(0, len(alive), 4096):
-                    z = _project_some(w, scaled, alive[c : c + 4096])
-                    cos = z @ latent.T / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
-                    for x, it in zip(*np.nonzero(cos >= cosine), strict=True):
-                        head = w.heads[alive[c + x]]
-                        r = int(row[head])
-                        start = int(first[r] + (at[head] - first[r]) // BLOCK * BLOCK)
-                        mask, n, amask, an = masks[it]
-                        lo, hi = max(int(first[r]), start - n), min(int(first[r + 1]), start + 2 * BLOCK + n)
-                        near = h[lo:hi].tolist()
-                        share = lcs_length(mask, n, near) / n
-                        if share < min(paraphrase, verbatim):
-                            continue
-                        found = lcs_length(amask, an, near) / max(an, 1)
-                        if share >= verbatim or share >= paraphrase and found >= answer:
-                            key = (i0 + r, int(it))
-                            new = (share, found, float(cos[x, it]), start - int(first[r]))
-                            if key not in best or new > best[key]:
-                                best[key] = new
+            best = space.judge(b.column(1))
             keys = sorted(best)
-            ids = b.column(0).take(pa.array([k[0] for k in keys], pa.int64()))
             v = [best[k] for k in keys]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([items[k[1]].item_id for k in keys], pa.int64()), *[pa.array([x[n] for x in v], pa.float64()) for n in (2, 0, 1)], pa.array([x[3] for x in v], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k[0] for k in keys], pa.int64())), pa.array([space.items[k[1]].item_id for k in keys], pa.int64()), *[pa.array([x[n] for x in v], pa.float64()) for n in (2, 0, 1)], pa.array([x[3] for x in v], pa.int64())], schema=schema)
 
     return run
 
 
-def _project_some(w: Windows, basis: np.ndarray, which: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(which), basis.shape[1]), np.float32)
-    for x, k in enumerate(which):
-        end = w.stops[k + 1] if w.has_next[k] else w.stops[k]
-        out[x] = basis[w.term[w.heads[k] : end]].sum(0)
-    return out
+def _filter(space: Space, text_col: str):
+    def run(batches):
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            keep[[k[0] for k in space.judge(b.column(b.schema.get_field_index(text_col)).cast(pa.string()))]] = False
+            yield b.filter(pa.array(keep))
 
+    return run
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-          item_terms: int = 24, rank: int = 256, cosine: float = 0.4, verbatim: float = 0.7, paraphrase: float = 0.5, answer: float = 0.6, most_items: int = 200_000) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer_lcs, first_word): one row for each row of docs and each item it leaks, from the best passage.
 
-    Words are runs of ASCII digits and letters and of characters outside ASCII, A-Z lower-cased. Null or empty texts and items, and items without
-    a word, leak nothing; repeated rows are judged each; rows with a null id come out with it; other columns are ignored. An empty table on either side gives no rows.
-    """
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, item_id long, cosine double, lcs double, answer_lcs double, first_word long"
+def _spaces(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, item_terms: int, least_item_terms: int, common: float, rank: int, group: int,
+            cosine: float, verbatim: float, paraphrase: float, answer: float, most_items: int) -> Iterator[Space]:
     rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null").limit(most_items + 1).collect()
     if len(rows) > most_items:
         raise ValueError(f"more than {most_items} benchmark items")
-    items = [Item(r["item_id"], word_hashes(r["text"]), word_hashes(answer_of(r["text"]))) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))]
+    items = [Item(r["item_id"], word_hashes(r["text"]), word_hashes(answer_of(r["text"]))) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))]
     items = [i for i in items if len(i.words)]
     if not items:
-        return spark.createDataFrame([], schema)
-
+        return
     every = Terms(np.unique(np.concatenate([i.words for i in items])))
-    counts = {r["term"]: r["n"] for r in d.select("text").mapInArrow(_frequencies(every), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # words of the benchmark
+    counts = {r["term"]: r["n"] for r in texts.mapInArrow(_frequencies(every), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # words of the benchmark
     df = np.array([counts.get(k, 0) for k in range(len(every.hashes))], np.float64)
     all_idf = np.log((counts.get(-1, 0) + 2) / (df + 1))
-    kept = set()
-    for i in items:
-        own = np.searchsorted(every.hashes, np.unique(i.words))
-        kept.update(own[np.argsort(-all_idf[own], kind="stable")[:item_terms]].tolist())
-    keep = np.array(sorted(kept))
-    terms, idf = Terms(every.hashes[keep]), all_idf[keep]
-
-    matrix = np.zeros((len(items), len(keep)))
-    for n, i in enumerate(items):
-        at, k = terms.find(i.words)
-        np.add.at(matrix[n], k, idf[k])
-    least = max(1, min(LEAST_TERMS, int((matrix > 0).sum(1).min())))
-    compact = checkpoint(d.select("text").mapInArrow(_compact(terms, least), "block binary, term binary"))
-    compact = compact.coalesce(1 + compact.count() // 64)
-    basis = latent_space(compact, idf, matrix, min(rank, len(keep), len(items) + 32), least)
-    latent = matrix @ basis
-    latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-    return d.mapInArrow(_search(terms, idf, basis, latent, items, least, cosine, verbatim, paraphrase, answer), schema)
+    n = max(counts.get(-1, 0), 1)
+    for at in range(0, len(items), group):
+        part = items[at : at + group]
+        kept = set()
+        for i in part:
+            own = np.searchsorted(every.hashes, np.unique(i.words))
+            own = own[np.argsort(-all_idf[own], kind="stable")][:item_terms]
+            rare = np.array([counts.get(int(k), 0) <= common * n for k in own], bool)
+            kept.update(own[rare | (np.arange(len(own)) < least_item_terms)].tolist())
+        keep = np.array(sorted(kept))
+        terms, idf = Terms(every.hashes[keep]), all_idf[keep]
+        matrix = np.zeros((len(part), len(keep)))
+        for k, i in enumerate(part):
+            _, t = terms.find(i.words)
+            np.add.at(matrix[k], t, idf[t])
+        least = max(1, min(LEAST_TERMS, int((matrix > 0).sum(1).min())))
+        mass = 2 * sum(counts.get(int(k), 0) * w * w for k, w in zip(keep, idf, strict=True))
+        weight = np.sqrt(max(ITEM_MASS * mass / (matrix**2).sum(), 1.0))
+        compact = checkpoint(texts.mapInArrow(_compact(terms, least), "block binary, term binary"))
+        compact = compact.coalesce(1 + compact.count() // 64)
+        basis = latent_space(compact, idf, matrix * weight, min(rank, len(keep)), least)
+        latent = ((matrix @ basis) / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        yield Space(part, terms, every, idf, basis, latent, least, cosine, verbatim, paraphrase, answer)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+          item_terms: int = 16, least_item_terms: int = 10, common: float = 0.003, rank: int = 256, group: int = 224, cosine: float = 0.35, verbatim: float = 0.7, paraphrase: float = 0.5, answer: float = 0.6, most_items: int = 200_000) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs, answer_lcs, first_word): one row for each row of docs and each item it leaks, from the best passage.
+
+    Words are runs of ASCII digits and letters and of characters outside ASCII, A-Z lower-cased. Null or empty texts and items, and items without
+    a word, leak nothing; repeated rows are judged each; rows with a null id come out with it; other columns are ignored. An empty table on either side gives no rows.
+    """
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = "doc_id long, item_id long, cosine double, lcs double, answer_lcs double, first_word long"
+    out = None
+    for space in _spaces(d.select("text"), benchmark, item_col, item_text, item_terms, least_item_terms, common, rank, group, cosine, verbatim, paraphrase, answer, most_items):
+        found = d.mapInArrow(_report(space), schema)
+        out = found if out is None else out.union(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+               item_terms: int = 16, least_item_terms: int = 10, common: float = 0.003, rank: int = 256, group: int = 224, cosine: float = 0.35, verbatim: float = 0.7, paraphrase: float = 0.5, answer: float = 0.6, most_items: int = 200_000) -> DataFrame:
+    """The rows of `docs`, all their columns, that leak no item, judged as by `leaks`. A projection of each row: nothing is joined back."""
+    out = docs
+    for space in _spaces(docs.select(F.col(text_col).cast("string").alias("text")), benchmark, item_col, item_text, item_terms, least_item_terms, common, rank, group, cosine, verbatim, paraphrase, answer, most_items):
+        out = out.mapInArrow(_filter(space, text_col), docs.schema)
+    return out
 
 
 def op4_decontaminate(spark, sf_dir):
