@@ -22,6 +22,7 @@ WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 12
 WIDEST = max(WIDTHS)
 STRIDE = WINDOW - WIDEST + 1
 UNDETERMINED = "und"
+SALTS = 32
 
 
 def cut(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +116,10 @@ def fit(labelled: DataFrame, per_lang: int = 300, windows: int = 16, most_langs:
     at most `windows` windows, evenly spaced, reach the driver.
     """
     d = labelled.where("text is not null and lang is not null")
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = d.select("doc_id", "lang").withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= per_lang).select("doc_id", "lang").limit(per_lang * most_langs)
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # a common language is thinned by salt first, so that no task sees more than SALTS * per_lang of its rows
+    ids = d.select("doc_id", "lang", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS))).alias("_s")).withColumn("_k", rank("lang", "_s")).where(F.col("_k") <= per_lang)
+    ids = ids.withColumn("_k", rank("lang")).where(F.col("_k") <= per_lang).select("doc_id", "lang").limit(per_lang * most_langs)
 
     def sample(batches):
         for b in batches:
@@ -205,5 +208,8 @@ def keep_identified(docs: DataFrame, model: ByteCNN | None, least: float = 0.35,
                 good = (p.column(2).to_numpy(zero_copy_only=False) >= least) & (p.column(1).to_numpy(zero_copy_only=False) != UNDETERMINED)
                 yield b.select(list(range(b.num_columns - 1))).filter(pa.array(good))
 
-    marked = docs.withColumn("_letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    own = "_letters"
+    while own in docs.columns:
+        own += "_"
+    marked = docs.withColumn(own, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     return marked.mapInArrow(run, docs.schema)
