@@ -106,13 +106,13 @@ def emit(docs: DataFrame, **options) -> DataFrame:
 
     Rows are matched by id; where an id is repeated, its rows get copies in a fixed order of all columns' hash.
     """
-    id_col, cols = options.get("id_col", "doc_id"), docs.columns
-    n = Window.partitionBy(id_col, "_n_words").orderBy("_h")
-    left = docs.withColumn("_n_words", word_count(F.col(options.get("text_col", "text")))).withColumn("_h", F.xxhash64(*[F.col(c) for c in cols])).withColumn("_k", F.row_number().over(n))
+    id_col = options.get("id_col", "doc_id")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), word_count(F.col(options.get("text_col", "text"))).alias("n"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("h"))
+    left = rows.withColumn("k", F.row_number().over(Window.partitionBy("id", "n").orderBy("h"))).drop("h")
     m = Window.partitionBy("doc_id", "size").orderBy("copies")
-    right = mix(docs, **options).withColumn("_k", F.row_number().over(m)).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("_k").alias("_rk"), "copies").where("copies > 0")
-    joined = left.join(right, left[id_col].eqNullSafe(F.col("_id")) & (F.col("_n_words") == F.col("_size")) & (F.col("_k") == F.col("_rk")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*cols)
+    right = mix(docs, **options).withColumn("k2", F.row_number().over(m)).select(F.col("doc_id").alias("id2"), F.col("size").alias("n2"), "k2", "copies").where("copies > 0")
+    joined = left.join(right, left["id"].eqNullSafe(right["id2"]) & (left["n"] == right["n2"]) & (left["k"] == right["k2"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op5_mix_sources(spark, sf_dir):
