@@ -74,12 +74,35 @@ class Field:
         return self.df.select(*self.dims, F.inline(F.array(*cells))).select("variable", *self.dims, RE, *([IM] if self.is_complex else []))
 
 
-def as_fields(x) -> tuple[list[Field], bool]:
+@dataclass(frozen=True)
+class Packed:
+    """Samples as rows: key columns and one array of all features. Positions (from 0) are the coordinates of `feature_dim`.
+
+    Nothing is shuffled to make a matrix of it. Every row is a sample of its own, and all arrays have the same length.
+    """
+
+    df: DataFrame
+    sample_dims: tuple[str, ...]
+    array: str
+    feature_dim: str = "feature"
+    is_complex = False
+    is_dataset = False
+    variables = ((VALUE, VALUE, None),)
+
+    @property
+    def dims(self) -> tuple[str, ...]:
+        return (*self.sample_dims, self.feature_dim)
+
+    def rows(self) -> DataFrame:
+        return self.df.select(*self.sample_dims, F.col(self.array).cast("array<double>").alias("__c"))
+
+
+def as_fields(x) -> tuple[list[Field | Packed], bool]:
     """Fields of a DataFrame, a field or a list of these, and whether it was a list."""
     many = isinstance(x, list | tuple)
     out = []
     for item in x if many else [x]:
-        if isinstance(item, Field):
+        if isinstance(item, Field | Packed):
             out.append(item)
         elif isinstance(item, DataFrame):
             out.append(Field.of(item))

@@ -17,15 +17,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions.geo import latitude_dim, sqrt_cos_lat_np
-from .field import IM, RE, Field, as_fields, same
-from .matrix import XI, RowMatrix, X, arrays, block, slices
+from .field import IM, RE, VALUE, Field, Packed, as_fields, same
+from .matrix import XI, RowMatrix, X, arrays, block, slices, total
 
 MOST_FEATURES = 2_000_000
 #: Standard deviations count as this much at least.
 LEAST_STD = float(np.finfo(np.float32).eps)
+ISOLATED = "isolated missing values: a sample must have all features or none; drop or fill them, or pass check_nans=False"
 
 
 def frame(spark: SparkSession, table: pa.Table, schema: StructType) -> DataFrame:
@@ -33,6 +34,27 @@ def frame(spark: SparkSession, table: pa.Table, schema: StructType) -> DataFrame
     return spark.createDataFrame(table, schema)
 
 
+def _dense(b: pa.RecordBatch, p: int) -> np.ndarray:
+    """Rows of the array column of a batch; a null array, or element, is not a number."""
+    c = b.column(b.schema.get_field_index("__c"))
+    known = c.is_valid().to_numpy(zero_copy_only=False)
+    flat = c.drop_null().flatten()
+    if len(flat) != known.sum() * p or not (np.diff(c.drop_null().offsets.to_numpy()) == p).all():
+        raise ValueError(f"an array is not of length {p}")
+    out = np.full((len(c), p), np.nan)
+    out[known] = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, p)
+    return out
+
+
+def _row_batch(b: pa.RecordBatch, keys, m: np.ndarray, some: np.ndarray, is_complex: bool) -> pa.RecordBatch:
+    """Rows of m with the keys of the batch; where `some` is false the array is null."""
+    cols = arrays(m[some], is_complex)
+    if not some.all():
+        at = pa.array(np.cumsum(some) - 1, pa.int64(), mask=~some)
+        cols = [x.take(at) for x in cols]
+    return pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keys], *cols], names=[*keys, X, *([XI] if is_complex else [])])
+
+
 def _in_order(table: pa.Table, rank: dict[str, int], dims: Sequence[str]) -> pa.Table:
     """By variable, then coordinates; a null coordinate comes first."""
     ranks = pa.array([rank[v] for v in table.column("variable").to_pylist()], pa.int32())
@@ -82,6 +104,8 @@ class Preprocessor:
         if len(weights) != len(fields):
             raise ValueError(f"{len(weights)} weights for {len(fields)} fields")
         self.is_complex = any(f.is_complex for f in fields)
+        if any(isinstance(f, Packed) for f in fields) and (len(fields) > 1 or set(fields[0].sample_dims) != set(sample_dims)):
+            raise ValueError("packed samples are fitted by themselves, along their own sample dims")
         self.blocks = [self._describe(f, w) for f, w in zip(fields, weights, strict=True)]
         at = 0
         for b in self.blocks:
@@ -91,7 +115,31 @@ class Preprocessor:
             raise ValueError("no feature has a value")
         return self._matrix(fields)
 
-    def _describe(self, f: Field, weights) -> Block:
+    def _describe_packed(self, f: Packed, weights) -> Block:
+        """As `_describe`, from sums over rows; values are taken from those of one sample, so that no digits are lost."""
+        first = f.rows().where(F.col("__c").isNotNull()).select("__c").first()
+        if first is None:
+            raise ValueError("no feature has a value")
+        p = len(first[0])
+        pilot = np.nan_to_num(np.array(first[0], float), nan=0.0)
+
+        def work(b):
+            m = _dense(b, p) - pilot
+            known = ~np.isnan(m)
+            m[~known] = 0
+            return np.stack([known.sum(0), m.sum(0), (m * m).sum(0)])
+
+        n, one, two = total(f.rows().select("__c").where(F.col("__c").isNotNull()), (3, p), work)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = one / n
+            std = np.sqrt(np.maximum(two / n - mean**2, 0))
+        schema = StructType([StructField("variable", StringType()), StructField(f.feature_dim, IntegerType())])
+        table = pa.table({"variable": [VALUE] * p, f.feature_dim: pa.array(np.arange(p, dtype=np.int32))})
+        return Block(f.variables, f.dims, (f.feature_dim,), False, table, schema, n, mean + pilot, np.maximum(np.nan_to_num(std), LEAST_STD), self._weights(table, (f.feature_dim,), weights))
+
+    def _describe(self, f: Field | Packed, weights) -> Block:
+        if isinstance(f, Packed):
+            return self._describe_packed(f, weights)
         _, feature_dims = f.split(self.sample_dims)
         long = f.long()
         parts = [RE, *([IM] if f.is_complex else [])]
@@ -144,7 +192,26 @@ class Preprocessor:
         number[b.valid] = np.arange(b.sizes[1]) + b.sizes[0]
         return frame(self.spark, b.features.append_column("__f", pa.array(number)), StructType([*b.schema.fields, StructField("__f", IntegerType())]))
 
-    def _matrix(self, fields: list[Field], fitting: bool = True) -> RowMatrix:
+    def _packed_matrix(self, f: Packed) -> RowMatrix:
+        out = RowMatrix(f.rows(), self.sample_dims, self.p, False)
+        offset, factor = self.factors()
+        p, keys, strict, valid = self.p, self.sample_dims, self.check_nans, np.flatnonzero(self.blocks[0].valid)
+        width = len(self.blocks[0].valid)
+
+        def run(batches):
+            for b in slices(batches, max(1, min(4096, (64 << 20) // max(1, 8 * width)))):
+                m = _dense(b, width)[:, valid]
+                filled = (~np.isnan(m)).sum(axis=1)
+                if strict and ((filled > 0) & (filled < p)).any():
+                    raise ValueError(ISOLATED)
+                yield _row_batch(b, keys, (m - offset) * factor, filled > 0, False)
+
+        out.df = f.rows().mapInArrow(run, out.schema())
+        return out
+
+    def _matrix(self, fields: list[Field | Packed], fitting: bool = True) -> RowMatrix:
+        if isinstance(fields[0], Packed):
+            return self._packed_matrix(fields[0])
         cells = None
         for f, b in zip(fields, self.blocks, strict=True):
             long = f.long()
@@ -177,13 +244,8 @@ class Preprocessor:
                 if (filled != n).any():
                     raise ValueError("a sample has two values for one feature")
                 if strict and ((filled > 0) & (filled < p)).any():
-                    raise ValueError("isolated missing values: a sample must have all features or none; drop or fill them, or pass check_nans=False")
-                some = filled > 0
-                cols = arrays((m[some] - offset) * factor, is_complex)
-                if not some.all():
-                    at = pa.array(np.cumsum(some) - 1, pa.int64(), mask=~some)
-                    cols = [x.take(at) for x in cols]
-                yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keys], *cols], names=[*keys, X, *([XI] if is_complex else [])])
+                    raise ValueError(ISOLATED)
+                yield _row_batch(b, keys, (m - offset) * factor, filled > 0, is_complex)
 
         out.df = packed.mapInArrow(run, out.schema())
         return out
@@ -203,6 +265,13 @@ class Preprocessor:
 
     def _same_features(self, fields: list[Field]) -> None:
         for f, b in zip(fields, self.blocks, strict=True):
+            if isinstance(f, Packed):
+                if self.check_nans:
+                    width = len(b.valid)
+                    n = total(f.rows().where(F.col("__c").isNotNull()).select("__c"), (width,), lambda x, w=width: (~np.isnan(_dense(x, w))).sum(0))
+                    if ((n > 0) != b.valid).any():
+                        raise ValueError("features are missing here but not in the fit, or the other way round")
+                continue
             cols = ["variable", *b.feature_dims]
             got = f.long().groupBy(*cols).agg(F.count(RE).alias("_n"))
             want = self._feature_frame(b).select(*[F.col(c).alias(f"__dim_{c}") for c in cols], (F.col("__f") >= 0).cast("int").alias("_valid"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.field import VALUE, Field
+from ..plans.field import VALUE, Field, Packed
 
 
 def read_field(spark: SparkSession, path: str, dims: Sequence[str] | None = None, variables: Sequence[str] | None = None, fmt: str = "parquet", **options) -> Field:
@@ -22,9 +22,9 @@ def from_wide(df: DataFrame, sample_dims: Sequence[str], features: Sequence[str]
     return Field.of(df.select(*sample_dims, F.inline(cells)), (*sample_dims, feature_dim), (VALUE,))
 
 
-def from_arrays(df: DataFrame, sample_dims: Sequence[str], array: str, feature_dim: str = "feature") -> Field:
-    """One row a sample with an array column: the position (from 0) is the coordinate of `feature_dim`."""
-    return Field.of(df.select(*sample_dims, F.posexplode(F.col(array).cast("array<double>")).alias(feature_dim, VALUE)), (*sample_dims, feature_dim), (VALUE,))
+def from_arrays(df: DataFrame, sample_dims: Sequence[str], array: str, feature_dim: str = "feature") -> Packed:
+    """One row a sample with an array column: the position (from 0) is the coordinate of `feature_dim`. No shuffle makes a matrix of it."""
+    return Packed(df, tuple(sample_dims), array, feature_dim)
 
 
 def from_events(df: DataFrame, sample: dict[str, object], feature: dict[str, object], value) -> Field:

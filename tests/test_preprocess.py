@@ -128,6 +128,25 @@ def test_readers(spark, tmp_path):
     assert np.allclose(matrix(Preprocessor().fit(from_wide(wide, ("t",)), ("t",))), x - x.mean(0))
     packed = wide.select("t", F.array("a", "b", "c").alias("v"))
     assert np.allclose(matrix(Preprocessor().fit(from_arrays(packed, ("t",), "v"), ("t",))), x - x.mean(0))
+    with_gap = packed.union(spark.createDataFrame([(7, None)], "t long, v array<double>"))
+    pre = Preprocessor(with_std=True)
+    m = pre.fit(from_arrays(with_gap, ("t",), "v", "k"), ("t",))
+    assert m.count() == 5 and m.df.count() == 6 and np.allclose(matrix(m), (x - x.mean(0)) / x.std(0))
+    assert "Exchange" not in m.df._jdf.queryExecution().executedPlan().toString()
+    assert np.allclose(pivot(pre.data(m), ["t"], ["k"]), x)
+    assert np.allclose(matrix(pre.transform(from_arrays(packed, ("t",), "v", "k"))), matrix(m))
+    short = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "t long, v array<double>")
+    with pytest.raises(Exception, match="length"):
+        Preprocessor().fit(from_arrays(short, ("t",), "v"), ("t",)).count()
+    dead = spark.createDataFrame([(1, [1.0, None, 3.0]), (2, [2.0, float("nan"), 5.0])], "t long, v array<double>")
+    pre = Preprocessor()
+    m = pre.fit(from_arrays(dead, ("t",), "v"), ("t",))
+    assert m.p == 2 and np.allclose(matrix(m), [[-0.5, -1], [0.5, 1]])
+    lone = spark.createDataFrame([(1, [1.0, None]), (2, [2.0, 4.0])], "t long, v array<double>")
+    with pytest.raises(Exception, match="isolated"):
+        Preprocessor().fit(from_arrays(lone, ("t",), "v"), ("t",)).count()
+    with pytest.raises(ValueError, match="packed"):
+        Preprocessor().fit([from_arrays(dead, ("t",), "v"), from_arrays(dead, ("t",), "v")], ("t",))
     path = str(tmp_path / "cells")
     table(spark, x).write.parquet(path)
     assert Preprocessor().fit(read_field(spark, path), ("time",)).p == 3
