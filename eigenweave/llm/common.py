@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,12 +25,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder; survives the loss of any executor."""
+#: Rows of a task where their number is known: small tables are written by few tasks, in few files.
+TASK_ROWS = 100_000
+
+
+def checkpoint(df: DataFrame, rows: int | None = None, per_task: int = TASK_ROWS) -> DataFrame:
+    """Materialise df in the shared checkpoint folder; survives the loss of any executor. `rows`: how many there are at most."""
     ensure_checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(1 + rows // per_task)
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints of finished steps now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def word_count(text: Column) -> Column:
     """Number of white-space separated words; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import checkpoint
+from .common import TASK_ROWS, checkpoint, release
 from .components import components
 
 BANDS, ROWS = 44, 6
@@ -192,29 +192,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component, and is kept. Other columns are ignored; an empty table gives no rows.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    spark = docs.sparkSession
     sketch = checkpoint(d.mapInArrow(_signatures(width), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
+    n = sketch.count()
     full = sketch.where("doc_id is not null and n_shingles > 0")
     classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    assigned = full.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2"])
-    reps = checkpoint(full.join(classes, ["k1", "k2"]).where("doc_id = rep").select("rep", "sig"))
+    known = full.join(classes, ["k1", "k2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig"))
+    alone = sketch.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.lit(None).cast("binary").alias("sig"))
+    known = checkpoint(known.union(alone), n, 20_000)
+    del sketch, full, classes, alone
+    release(spark)
 
+    reps = known.where("sig is not null").select("rep", "sig")
     bands = reps.mapInArrow(_bands, "key long, rep long")
     lead = bands.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").select("key", "b")
-    stars = checkpoint(bands.join(lead, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
+    stars = checkpoint(bands.join(lead, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), n)
+    del bands, lead
+    release(spark)
     around = components(stars)
-    nodes = checkpoint(around.join(reps, F.col("node") == F.col("rep")).join(d.where("doc_id is not null"), F.col("node") == F.col("doc_id")).where(F.length("text") > 0).select("rep", F.col("root").alias("around"), "sig", "text"))
+    nodes = around.join(reps, F.col("node") == F.col("rep")).join(d.where("doc_id is not null"), F.col("node") == F.col("doc_id")).where(F.length("text") > 0).select("rep", F.col("root").alias("around"), "sig", "text")
+    nodes = checkpoint(nodes, n, 20_000)
+    del around, reps
+    release(spark)
 
     side = lambda k: nodes.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("text").alias(f"text_{k}"))
     pairs = stars.join(side("a"), "a").join(side("b"), "b").select("a", "sig_a", "text_a", "b", "sig_b", "text_b")
     links = checkpoint(pairs.mapInArrow(_verify_pairs(width, percent, miss), "a long, b long"))
+    del pairs, stars
+    release(spark)
     first = components(links)
     rest = _outside(nodes, first, block).groupBy("around", "i", "j").applyInArrow(_verify_block(width, percent, miss), "a long, b long")
     stars_of = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(stars_of.union(rest)).select(F.col("node").alias("rep"), "root")
-
-    in_sets = assigned.join(roots, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
-    alone = sketch.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return in_sets.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    del nodes, links, first, rest, stars_of
+    release(spark)
+    out = known.select("doc_id", "n_shingles", "rep").join(roots, "rep", "left").coalesce(1 + n // TASK_ROWS)
+    return out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _outside(nodes: DataFrame, roots: DataFrame, block: int) -> DataFrame:
