@@ -144,12 +144,12 @@ class SingleSet(Model):
         self.preprocessor = Preprocessor(center, standardize, use_coslat, check_nans)
         self.input: RowMatrix | None = None
 
-    def fit(self, x, dim, weights=None):
+    def fit(self, X, dim, weights=None):  # noqa: N803
         """Fit to a field, a DataFrame or a list of these; `dim` names the sample dims, all other dims are features."""
         dims = as_dims(dim)
 
         def work():
-            m = self.preprocessor.fit(x, dims, weights)
+            m = self.preprocessor.fit(X, dims, weights)
             self.spark = self.preprocessor.spark
             self.input = m.persist()
             self._fit(self.input)
@@ -162,8 +162,8 @@ class SingleSet(Model):
             self.input.df.unpersist()
         return self
 
-    def fit_transform(self, x, dim, weights=None, **kwargs):
-        return self.fit(x, dim, weights).transform(x, **kwargs)
+    def fit_transform(self, X, dim, weights=None, **kwargs):  # noqa: N803
+        return self.fit(X, dim, weights).transform(X, **kwargs)
 
     def _fit(self, m: RowMatrix) -> None:
         raise NotImplementedError
