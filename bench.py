@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from eigenweave import operators as O
 from eigenweave import queries as Q
+from eigenweave.sources.tables import from_arrays
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -26,10 +27,17 @@ def field(spark: SparkSession, n: int, side: int, seed: int) -> DataFrame:
     return cells.select("time", (F.floor(cell / side) * 180.0 / side - 89).alias("lat"), (cell % side * 360.0 / side).alias("lon"), (F.randn(seed) + F.sin(F.col("time") / 20) * F.cos(cell / 50)).alias("value"))
 
 
+def vectors(spark: SparkSession, n: int, p: int) -> DataFrame:
+    """n samples of p features as arrays."""
+    wave = F.transform(F.sequence(F.lit(1), F.lit(p)), lambda k: F.sin(F.col("time") * k / 977.0) + (F.xxhash64("time", k) % 1000) / 1000.0)
+    return spark.range(n, numPartitions=int(CPUS)).select(F.col("id").alias("time")).select("time", wave.alias("v"))
+
+
 def queries() -> dict:
     out = {name: Q.QUERIES[name] for name in ("eof_explained_variance", "eof_components", "eof_scores", "eof_inverse_transform", "eof_embeddings", "hilbert_eof", "extended_eof", "pop_eigenvalues", "opa_decorrelation_time", "gwpca_components", "sparse_pca_components", "eof_promax", "eof_bootstrap", "mca_singular_values", "cca_singular_values", "mca_rotator_covariance", "multi_cca_correlations")}
     out["eof_grid_2000x2500"] = lambda spark, _: O.EOF(10, use_coslat=True).fit(field(spark, 2000, 50, 1), "time").scores()
     out["mca_grid_2000x900"] = lambda spark, _: O.MCA(5, n_pca_modes=50).fit(field(spark, 2000, 30, 2), field(spark, 2000, 30, 3), "time").scores()[0]
+    out["eof_packed_10000x2000"] = lambda spark, _: O.EOF(2).fit(from_arrays(vectors(spark, 10_000, 2000), ("time",), "v"), "time").scores()
     return out
 
 
