@@ -41,7 +41,7 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(t, _BREAK, "\n"), _TAG, "")
     for code, plain in _ENTITIES:
         t = F.replace(t, F.lit(code), F.lit(plain))
-    return F.trim(F.lit(" \n"), F.regexp_replace(F.regexp_replace(t, _SPACES, " "), _LINES, "\n"))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, _SPACES, " "), _LINES, "\n"), F.lit(" \n"))
 
 
 def responses_from_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col="page_id", url_col="url", html_col="html") -> DataFrame:
