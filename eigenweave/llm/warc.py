@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 CRLF = "\r\n"
 #: Matches of these, in order, are replaced; the same expressions run in Java and RE2.
-_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script(?:[\s/][^>]*)?>.*?(?:</script\s*>|\z)|<style(?:[\s/][^>]*)?>.*?(?:</style\s*>|\z)|<head(?:[\s/][^>]*)?>.*?(?:</head\s*>|\z)"
+_UNSEEN = r"(?is)<(?:!--(?:.*?-->|.*)|" + "|".join(rf"{t}(?:[\s/][^>]*)?>(?:.*?</{t}\s*>|.*)" for t in ("script", "style", "head")) + ")"
 _BREAK = r"(?i)</?(?:p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|section|article|header|footer|nav|main|blockquote|pre|form|title|body|html)(?:[\s/][^>]*)?>"
 _TAG = r"<[!/?a-zA-Z][^>]*>"
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-_SPACES, _LINES = r"[ \t\r\f\x0B]+", r" ?\n[ \n]*"
+_SPACES, _LINES = r" [ \t\r\f\x0B]+|[\t\r\f\x0B][ \t\r\f\x0B]*", r" ?\n[ \n]*"
 _TITLE = r"(?is)<title(?:[\s/][^>]*)?>(.*?)</title"
 
 
