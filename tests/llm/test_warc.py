@@ -54,6 +54,14 @@ def test_files(spark, pages, tmp_path):
     assert (r["status"], r["content_type"], r["payload"], r["warc_type"]) == (404, "text/html", "<p>gone</p>", "response")
 
 
+def test_columns_with_clashing_names(spark, pages):
+    from pyspark.sql import functions as F
+
+    more = pages.select("*", *[F.lit("own").alias(c) for c in ("block", "record_id", "payload", "k", "type", "status", "date")])
+    key = lambda d: sorted(r["record"] for r in warc.derive(warc.responses_from_pages(d)).collect())
+    assert key(more) == key(pages)
+
+
 def test_empty(spark, pages):
     assert warc.derive(warc.responses_from_pages(pages.limit(0))).count() == 0
 
