@@ -83,13 +83,22 @@ _OPEN, _SHUT = r"[\[({<]\x20{0,3}", r"\x20{0,3}[\])}>]"
 _DOT = rf"(?:\x20{{0,3}}{_OPEN}(?:dot|\.){_SHUT}\x20{{0,3}}|\x20{{1,3}}dot\x20{{1,3}})"
 _DISGUISE = re.compile(
     rf"(?P<head>(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]{{1,64}}){{0,4}}?)"
-    rf"(?P<at>\x20{{0,3}}{_OPEN}at{_SHUT}\x20{{0,3}}|\x20{{0,3}}@\x20{{0,3}}|\x20{{1,3}}at\x20{{1,3}})"
-    rf"(?P<tail>[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,63}}){{1,6}})",
+    rf"(?P<at>\x20{{0,3}}{_OPEN}(?:at|@){_SHUT}\x20{{0,3}}|\x20{{0,3}}@\x20{{0,3}}|\x20{{1,3}}at\x20{{1,3}})"
+    rf"(?P<tail>[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT}|\x20\.\x20)[A-Za-z0-9-]{{1,63}}){{1,6}})",
     re.IGNORECASE,
 )
-_DOTS = re.compile(_DOT, re.IGNORECASE)
-_HINT = re.compile(r"[\[({<]\x20{0,3}(?:at|dot)\x20{0,3}[\])}>]|\x20dot\x20|@\x20|\x20@", re.IGNORECASE)
-_SPELLED = re.compile(rf"(?:\bplus[\s,.-]{{1,3}})?\b{_NAME}(?:[\s,.-]{{1,3}}(?:{_NAME}\b|[0-9]\b)){{6,}}", re.IGNORECASE)
+_DOTS = re.compile(rf"{_DOT}|\x20\.\x20", re.IGNORECASE)
+#: The same with words joined by underscores or hyphens.
+_JOINED = re.compile(r"(?<![A-Za-z0-9_-])(?P<head>[A-Za-z0-9.]{1,64})(?P<j>[_-])at(?P=j)(?P<tail>[A-Za-z0-9]{1,63}(?:(?P=j)dot(?P=j)[A-Za-z0-9]{1,63}){1,6})(?![A-Za-z0-9_-])", re.IGNORECASE)
+_DOTS_OR_DOT = re.compile(rf"{_DOT}|\.", re.IGNORECASE)
+_JOINED_DOT = re.compile(r"[_-]dot[_-]", re.IGNORECASE)
+_HINT = re.compile(r"[\[({<]\x20{0,3}(?:at|dot|@|\.)\x20{0,3}[\])}>]|\x20dot\x20|@\x20|\x20@|[_-]at[_-]", re.IGNORECASE)
+#: Four numbers with disguised dots between them, or with some of their digits spelled.
+_NUMBER = rf"(?:[0-9]{{1,3}}|{_NAME}(?:\x20{_NAME}){{0,2}})"
+_DOTTED = re.compile(rf"(?<![A-Za-z0-9.]){_NUMBER}(?:(?:\.|{_DOT}){_NUMBER}){{3}}(?![A-Za-z0-9])", re.IGNORECASE)
+#: Digits, at least `LEAST_SPELLED` of them spelled.
+_SPELLED = re.compile(rf"(?:\bplus[\s,.-]{{1,3}}|\+)?\b(?:{_NAME}|[0-9]{{1,6}})\b(?:[\s,.()-]{{1,3}}(?:{_NAME}|[0-9]{{1,6}})\b){{3,}}", re.IGNORECASE)
+LEAST_SPELLED = 3
 _SPELLED_HINT = re.compile(rf"\b{_NAME}[\s,.-]{{1,3}}{_NAME}\b", re.IGNORECASE)
 
 
@@ -135,14 +144,29 @@ def _mail_edits(text: str) -> list[tuple[int, int, str]]:
         out.append((*m.span("at"), "@"))
         for d in _DOTS.finditer(m.group("tail")):
             out.append((m.start("tail") + d.start(), m.start("tail") + d.end(), "."))
-    return out
+    for m in _JOINED.finditer(text):
+        if re.search(rf"(?:{TOP})$", m.group("tail"), re.IGNORECASE):
+            out.append((m.end("head"), m.start("tail"), "@"))
+            out += [(m.start("tail") + d.start(), m.start("tail") + d.end(), ".") for d in _JOINED_DOT.finditer(m.group("tail"))]
+    for m in _DOTTED.finditer(text):
+        at = m.start()
+        for d in [*_DOTS_OR_DOT.finditer(m.group()), None]:
+            end = m.end() if d is None else m.start() + d.start()
+            if not text[at:end].isdigit():
+                out.append((at, end, "".join(_DIGITS[w.lower()] for w in text[at:end].split())))
+            if d is not None:
+                at = m.start() + d.end()
+                out.append((end, at, "."))
+    return sorted(out)
 
 
 def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _SPELLED.finditer(text):
-        words = re.findall(r"[A-Za-z]+|[0-9]", m.group())
-        out.append((*m.span(), "".join("+" if w.lower() == "plus" else _DIGITS.get(w.lower(), w) for w in words)))
+        words = re.findall(r"[A-Za-z]+|[0-9]+", m.group())
+        if sum(w.lower() in _DIGITS for w in words) < LEAST_SPELLED:
+            continue
+        out.append((*m.span(), ("+" if m.group()[0] == "+" else "") + "".join("+" if w.lower() == "plus" else _DIGITS.get(w.lower(), w) for w in words)))
     return out
 
 
