@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     known = full.join(classes, ["k1", "k2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig"))
     alone = sketch.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.lit(None).cast("binary").alias("sig"))
-    known = checkpoint(known.union(alone), n, 20_000)
+    known = checkpoint(known.union(alone), n, 5_000)
     del sketch, full, classes, alone
     release(spark)
 
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(spark)
     around = components(stars)
     nodes = around.join(reps, F.col("node") == F.col("rep")).join(d.where("doc_id is not null"), F.col("node") == F.col("doc_id")).where(F.length("text") > 0).select("rep", F.col("root").alias("around"), "sig", "text")
-    nodes = checkpoint(nodes, n, 20_000)
+    nodes = checkpoint(nodes, n, 5_000)
     del around, reps
     release(spark)
 
