@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from ..functions.geo import CARTESIAN_X, CARTESIAN_Y, KERNELS, LATITUDES, LONGITUDES, METRICS, bounding_halfwidth, distances_np, kernel_weight_np
+from ..functions.geo import CARTESIAN_X, CARTESIAN_Y, EARTH_KM, KERNELS, LATITUDES, LONGITUDES, METRICS, bounding_halfwidth, distances_np, kernel_weight_np
 from ..plans.matrix import RowMatrix, X, block
 from ..plans.order import SID, indexed
 from .base import SingleSet
@@ -68,31 +68,41 @@ class GWPCA(SingleSet):
         p = self.params
         if p["kernel"] != "bisquare":
             return placed.withColumn("__b", F.floor(F.col(SID) / BLOCK).cast("long"))
-        size = p["bandwidth"] / 111.0 if p["metric"] == "haversine" else p["bandwidth"]  # a degree of latitude is 111 km
+        size = self._cell_size()
         cell = placed.withColumn("__c", F.xxhash64(F.floor(F.col("__px") / size), F.floor(F.col("__py") / size)))
         crowd = cell.groupBy("__c").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("__parts"))
         return cell.join(crowd, "__c").withColumn("__b", F.xxhash64("__c", F.pmod(F.xxhash64(SID), F.col("__parts")))).drop("__c", "__parts")
 
+    def _cell_size(self) -> float:
+        """Side of the grid's cells: the bandwidth, in degrees of latitude (111 km) where that is the unit."""
+        return self.params["bandwidth"] / 111.0 if self.params["metric"] == "haversine" else self.params["bandwidth"]
+
     def _pairs(self, packed: DataFrame) -> DataFrame:
-        """(a, b): blocks of which some points can be in reach of each other, by their boxes."""
+        """(a, b): blocks of which some points can be in reach of each other.
+
+        A block is sent to every grid cell that its box, widened by the bandwidth, touches, and meets the blocks of that cell.
+        """
         p = self.params
         boxes = packed.select("__b", "x0", "x1", "y0", "y1")
-        a = boxes.select(*[F.col(c).alias(f"a{c}") for c in boxes.columns])
         if p["kernel"] != "bisquare":  # a kernel without an end needs all rows at every row, in blocks
-            return a.join(F.broadcast(boxes.select("__b")), F.lit(True)).select("a__b", "__b")
+            return boxes.select(F.col("__b").alias("a__b")).join(F.broadcast(boxes.select("__b")), F.lit(True)).select("a__b", "__b")
+        size = self._cell_size()
         if p["metric"] == "euclidean":
-            h = F.lit(p["bandwidth"])
-            near = (F.col("ax0") - h <= F.col("x1")) & (F.col("ax1") + h >= F.col("x0")) & (F.col("ay0") - h <= F.col("y1")) & (F.col("ay1") + h >= F.col("y0"))
-            return a.join(boxes, near).select("a__b", "__b")
-        dlat = bounding_halfwidth(0.0, p["bandwidth"])[1]
-        top = F.greatest(F.abs("ay0"), F.abs("ay1"))
-        angle = min(p["bandwidth"] / 6371.0, math.pi / 2)
-        # the widest longitude reached from the latitude nearest a pole
-        wide = F.when(top + dlat >= 90, 360.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(angle)) / F.cos(F.radians(top))))))
-        gap = F.greatest(F.col("x0") - F.col("ax1"), F.col("ax0") - F.col("x1"))
-        round_gap = F.least(gap, F.lit(360.0) - (F.greatest("x1", "ax1") - F.least("x0", "ax0")))
-        near = (F.col("ay0") - dlat <= F.col("y1")) & (F.col("ay1") + dlat >= F.col("y0")) & ((gap <= wide) | (round_gap <= wide))
-        return a.join(boxes, near).select("a__b", "__b")
+            wide, high, turns = F.lit(p["bandwidth"]), F.lit(p["bandwidth"]), [0.0]
+        else:
+            dlat = bounding_halfwidth(0.0, p["bandwidth"])[1]
+            top = F.greatest(F.abs("y0"), F.abs("y1"))
+            sine = math.sin(min(p["bandwidth"] / EARTH_KM, math.pi / 2))
+            # the widest longitude reached from the latitude nearest a pole
+            wide = F.when(top + dlat >= 90, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(sine) / F.cos(F.radians(top))))))
+            high, turns = F.lit(dlat), [-360.0, 0.0, 360.0]
+        cells = lambda lo, hi: F.sequence(F.floor(lo / size), F.floor(hi / size))
+        sent = boxes.select(F.col("__b").alias("a__b"), "x0", "x1", (F.col("y0") - high).alias("lo"), (F.col("y1") + high).alias("hi"), wide.alias("w"), F.explode(F.array(*[F.lit(t) for t in turns])).alias("t"))
+        sent = sent.select("a__b", "lo", "hi", (F.col("x0") - F.col("w") + F.col("t")).alias("left"), (F.col("x1") + F.col("w") + F.col("t")).alias("right"))
+        sent = sent.withColumn("cx", F.explode(cells(F.col("left"), F.col("right")))).withColumn("cy", F.explode(cells(F.col("lo"), F.col("hi"))))
+        own = boxes.withColumn("cx", F.floor(F.col("x0") / size)).withColumn("cy", F.floor(F.col("y0") / size))
+        touch = (F.col("left") <= F.col("x1")) & (F.col("right") >= F.col("x0")) & (F.col("lo") <= F.col("y1")) & (F.col("hi") >= F.col("y0"))
+        return sent.join(own, ["cx", "cy"]).where(touch).select("a__b", "__b").distinct()
 
     def _local(self, placed: DataFrame, p: int) -> DataFrame:
         par = self.params

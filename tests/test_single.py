@@ -245,6 +245,23 @@ def test_gwpca(spark, x, kernel):
             call()
 
 
+def test_gwpca_around_the_globe(spark):
+    """Samples on both sides of the date line and near a pole, against all pairs."""
+    from eigenweave.functions.geo import distances_np, kernel_weight_np
+
+    rng = np.random.default_rng(4)
+    xy = np.concatenate([np.stack([rng.uniform(-180, 180, 60), rng.uniform(-89, 89, 60)], 1), np.stack([rng.choice([-179.5, 179.5, 178.0], 20), rng.uniform(-5, 5, 20)], 1), np.stack([rng.uniform(-180, 180, 20), rng.uniform(85, 90, 20)], 1)])
+    v = rng.normal(size=(100, 2))
+    df = spark.createDataFrame([(float(a), float(b), k, float(v[i, k])) for i, (a, b) in enumerate(xy) for k in (0, 1)], "lon double, lat double, f long, value double")
+    got = {(r["lon"], r["lat"]): r["value"] for r in O.GWPCA(1, bandwidth=900.0).fit(df, ("lon", "lat")).explained_variance().collect()}
+    c = v - v.mean(0)
+    w = kernel_weight_np(distances_np(xy, xy, "haversine"), 900.0, "bisquare")
+    for i, (a, b) in enumerate(xy):
+        m = (w[i][:, None] * c).sum(0) / w[i].sum()
+        cov = (w[i][:, None] * (c - m)).T @ (c - m) / w[i].sum()
+        assert np.isclose(got[a, b], np.linalg.eigvalsh(cov)[-1], atol=1e-9)
+
+
 def test_gwpca_blocks_and_arguments(spark, monkeypatch):
     from eigenweave.operators import gwpca
 
