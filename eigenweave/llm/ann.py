@@ -5,8 +5,8 @@ bounded sample, then refined by least squares; vectors are encoded by beam searc
 queries with lookup tables (one table entry per codebook and code word), keeps the best `pool` of each
 query, and reranks them exactly, in double precision, on the original vectors. Norms of the approximations are stored for cosine or Euclidean scoring.
 
-Codes travel packed, in at most `most_blocks` blocks, each met by every block of queries; only the best
-candidates of a pair of blocks leave it, packed in one row.
+Codes travel packed, in up to `most_blocks` blocks of about `code_block` rows or, beyond that, in blocks of `largest_block` rows; each is met by every
+block of queries. Only the best candidates of a pair of blocks leave it, packed in one row.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, pool: int = 320, id_col: str = "vec_id", vec_col: str = "embedding",
-           query_block: int = 256, code_block: int = 8192, most_blocks: int = 64, sample: int = SAMPLE) -> DataFrame:
+           query_block: int = 256, code_block: int = 8192, most_blocks: int = 64, largest_block: int = 65536, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row whose id is divisible by `every`, its k nearest among all other rows.
 
     Nearest first, ties to the smaller id; all candidates if there are fewer. Vectors that are null, zero, hold null or non-finite components,
@@ -126,7 +126,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, pool: int = 320, id
                 norm = (quantiser.decode(codes) ** 2).sum(1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm.astype(np.float32))], names=["vec_id", "code", "norm"])
 
-    n_code = max(1, min(most_blocks, -(-total // code_block)))
+    n_code = max(1, min(most_blocks, -(-total // code_block)), -(-total // largest_block))
     n_query = max(1, -(-(total // every + 1) // query_block))
     codes = v.mapInArrow(encode, "vec_id long, code binary, norm float").withColumn("block", F.expr(f"cast(pmod(xxhash64(vec_id), {n_code}) as int)"))
 
@@ -163,16 +163,28 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, pool: int = 320, id
                     best_i, best_s = _top(i, s, pool)
                 yield pa.RecordBatch.from_arrays([pa.array([r["q"]], pa.int32()), pa.array([r["qids"]], pa.binary()), pa.array([len(best_s)], pa.int32()), pa.array([best_i.tobytes()], pa.binary()), pa.array([best_s.tobytes()], pa.binary())], names=["q", "qids", "n", "ids", "s"])
 
-    def merge(t):
-        rows = t.to_pylist()
-        qids = np.frombuffer(rows[0]["qids"], np.int64)
-        i = np.concatenate([np.frombuffer(r["ids"], np.int64).reshape(r["n"], -1) for r in rows])
-        s = np.concatenate([np.frombuffer(r["s"], np.float32).reshape(r["n"], -1) for r in rows])
-        i, s = _top(i, s, pool)
-        keep = np.isfinite(s)
-        return pa.table({"query_id": np.broadcast_to(qids[None], i.shape)[keep], "vec_id": i[keep]})
+    def merge(batches):
+        """Rows come sorted by block of queries; only the best of one block are held."""
+        q = qids = i = s = None
 
-    found = met.mapInArrow(score, "q int, qids binary, n int, ids binary, s binary").groupBy("q").applyInArrow(merge, "query_id long, vec_id long")
+        def best():
+            keep = np.isfinite(s)
+            return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qids[None], i.shape)[keep]), pa.array(i[keep])], names=["query_id", "vec_id"])
+
+        for b in batches:
+            for r in b.to_pylist():
+                own_i, own_s = (np.frombuffer(r[k], t).reshape(r["n"], -1) for k, t in (("ids", np.int64), ("s", np.float32)))
+                if q == r["q"]:
+                    i, s = _top(np.concatenate([i, own_i]), np.concatenate([s, own_s]), pool)
+                    continue
+                if q is not None:
+                    yield best()
+                q, qids, i, s = r["q"], np.frombuffer(r["qids"], np.int64), own_i, own_s
+        if q is not None:
+            yield best()
+
+    scored = met.mapInArrow(score, "q int, qids binary, n int, ids binary, s binary")
+    found = scored.repartition("q").sortWithinPartitions("q").mapInArrow(merge, "query_id long, vec_id long")
     pairs = found.join(v, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("u")), "query_id").select("query_id", "vec_id", "u", "v")
 
     def exact(batches):
