@@ -75,11 +75,11 @@ class AdditiveQuantiser:
         q = cls(np.stack(out))
         for _ in range(rounds):  # all books at once, given the codes: regularised normal equations
             codes = q.encode(x, 4).astype(np.int64) + np.arange(books) * words
-            gram, rhs = np.zeros((books * words, books * words)), np.zeros((books * words, x.shape[1]))
+            gram, rhs = np.zeros((books * words, books * words), np.float32), np.zeros((books * words, x.shape[1]), np.float32)
             for a in range(books):
                 np.add.at(rhs, codes[:, a], x)
                 for b in range(books):
-                    np.add.at(gram, (codes[:, a], codes[:, b]), 1.0)
+                    np.add.at(gram, (codes[:, a], codes[:, b]), np.float32(1))
             gram[np.diag_indices_from(gram)] += 1.0
             rhs += q.books.reshape(-1, x.shape[1])
             q = cls(np.linalg.solve(gram, rhs).reshape(books, words, -1).astype(np.float32))
