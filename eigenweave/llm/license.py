@@ -1,8 +1,8 @@
 """License scans with a positional rare-token index, in DataFrame operations only.
 
 The index is built from short license templates: every template word gets an inverse document frequency
-over the templates, and the rarest positions of each are posted. For each file the licence words it
-contains are looked up, its highest-IDF ones kept, and their postings intersected by relative
+over the templates, and the rarest positions of each are posted. For each file all the licence words it
+contains are looked up and their postings intersected by relative
 position: postings that agree on (template, file position - template position) vote for one place. A template
 with enough votes at one place is verified by its mandatory key phrases. The whole scan is a projection of the row:
 no shuffle, no join, and the index (a few hundred postings) is a literal of the plan.
@@ -50,7 +50,7 @@ TEMPLATES = (
 )
 #: Words of everyday prose, of little use to rule texts out.
 _PLAIN = frozenset("a and by charge fee forms free hereby in is of or public source the use version with without".split())
-RAREST, FILE_WORDS, AGREE = 6, 32, 0.75
+RAREST, AGREE = 6, 0.75
 
 
 def build_index(templates=TEMPLATES) -> tuple[dict[str, float], dict[str, list[tuple[int, int]]], list[int]]:
@@ -138,13 +138,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     lower = F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     d = d.withColumn("_w", F.when(F.col("_gate"), F.regexp_extract_all(lower, F.lit(f"{CHAR}+"), F.lit(0))).otherwise(none))
     known = sorted(idf)
-    rank = F.create_map(*[x for w in known for x in (F.lit(w), F.lit(idf[w]))])
     post = F.create_map(*[x for w in known for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]))])
     hits = F.filter(F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(*known))
     d = d.withColumn("_h", hits)
-    top = F.slice(F.sort_array(F.transform(F.array_distinct(F.transform("_h", lambda h: h["w"])), lambda w: F.struct(F.element_at(rank, w).alias("f"), w.alias("w"))), asc=False), 1, FILE_WORDS)
-    d = d.withColumn("_top", F.transform(top, lambda x: x["w"]))
-    votes = F.flatten(F.transform(F.filter("_h", lambda h: F.array_contains("_top", h["w"])), lambda h: F.transform(F.element_at(post, h["w"]), lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["p"]).alias("at")))))
+    votes = F.flatten(F.transform("_h", lambda h: F.transform(F.element_at(post, h["w"]), lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["p"]).alias("at")))))
     d = d.withColumn("_v", F.array_sort(votes))
     need = F.array(*[F.lit(max(1, ceil(AGREE * n))) for n in posted])
     full = F.array(*[F.lit(float(n)) for n in posted])

@@ -58,6 +58,16 @@ def test_verification(spark):
     assert got[3] == [""] and got[5] == [""] and "mit" not in got[4]
 
 
+def test_templates_are_found_among_all_licence_words(spark):
+    words = sorted(license.build_index()[0])
+    random.Random(3).shuffle(words)
+    around = " kalo ".join(words)
+    rows = [(k, f"{around} kalo. {template}. Kalo {around}") for k, (_, template, _) in enumerate(license.TEMPLATES)]
+    for r in license.scan(documents(spark, rows)).collect():
+        label = license.TEMPLATES[r["doc_id"]][0]
+        assert r["labels"].split(",") == sorted({label, *filter(None, r["base_labels"].split(","))}) and r["score"] == 1.0
+
+
 def test_empty_and_null_ids(spark):
     assert license.scan(documents(spark, []).limit(0)).count() == 0
     assert license.scan(documents(spark, [(None, "cc by"), (None, "cc by")])).count() == 2
