@@ -5,6 +5,9 @@ bounded sample, then refined by least squares; vectors are encoded by beam searc
 queries with lookup tables (one table entry per codebook and code word), keeps the best `pool` of each
 query, and reranks them exactly, in double precision, on the original vectors. Norms of the approximations are stored for cosine or Euclidean scoring.
 
+Copies of a vector are indexed once: each distinct vector keeps the k + 1 smallest ids of its copies, all that a result can name, and is
+expanded to them after the exact scores. Where scores tie at the end of a pool, the smaller id stays, in whatever order blocks come.
+
 Codes travel packed, in up to `most_blocks` blocks of about `code_block` rows or, beyond that, in blocks of `largest_block` rows; each is met by every
 block of queries. Only the best candidates of a pair of blocks leave it, packed in one row.
 """
@@ -104,7 +107,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, pool: int = 320, id
 
     Nearest first, ties to the smaller id; all candidates if there are fewer. Vectors that are null, zero, hold null or non-finite components,
     or are not of the commonest dimension take no part; rows that share an id are one (the least vector). Empty input gives no rows.
-    Books are fitted on `sample` vectors of least id hash; every vector is indexed.
+    Books are fitted on `sample` vectors of least id hash; every distinct vector is indexed.
     """
     spark = vectors.sparkSession
     v = checkpoint(usable(vectors, id_col, vec_col))
@@ -118,6 +121,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, pool: int = 320, id
     rows = v.select("vec_id", "v").orderBy(F.xxhash64("vec_id")).limit(sample).sort(F.xxhash64("vec_id")).toArrow()
     quantiser = AdditiveQuantiser.fit(_matrix(rows.column("v").combine_chunks(), d))
 
+    def classes_of(t: DataFrame, *by: str) -> DataFrame:
+        return t.groupBy(*by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+
+    copies, n_part = v.select("v", F.array("vec_id").alias("ids"), "vec_id"), -(-total // largest_block)
+    if n_part > 1:  # no aggregate of very common vectors holds all their ids
+        copies = classes_of(copies.withColumn("part", F.expr(f"pmod(xxhash64(vec_id), {n_part})")), "v", "part")
+    classes = checkpoint(classes_of(copies, "v").select(F.col("ids")[0].alias("vec_id"), "v", "ids"))
+
     def encode(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1024):
@@ -128,7 +139,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, pool: int = 320, id
 
     n_code = max(1, min(most_blocks, -(-total // code_block)), -(-total // largest_block))
     n_query = max(1, -(-(total // every + 1) // query_block))
-    codes = v.mapInArrow(encode, "vec_id long, code binary, norm float").withColumn("block", F.expr(f"cast(pmod(xxhash64(vec_id), {n_code}) as int)"))
+    codes = classes.select("vec_id", "v").mapInArrow(encode, "vec_id long, code binary, norm float").withColumn("block", F.expr(f"cast(pmod(xxhash64(vec_id), {n_code}) as int)"))
 
     def pack_codes(key, t):
         t = t.sort_by("vec_id")
@@ -156,11 +167,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, pool: int = 320, id
                     s = tables[0][c[:, 0]]
                     for m in range(1, BOOKS):
                         s += tables[m][c[:, m]]
-                    s[ids[at : at + 8192, None] == qids[None]] = -np.inf
                     i = np.broadcast_to(ids[at : at + 8192, None], s.shape)
                     if best_s is not None:
                         s, i = np.concatenate([best_s, s]), np.concatenate([best_i, i])
-                    best_i, best_s = _top(i, s, pool)
+                    best_i, best_s = _top(i, s, pool + 1)  # one place more: the query itself may be among them
                 yield pa.RecordBatch.from_arrays([pa.array([r["q"]], pa.int32()), pa.array([r["qids"]], pa.binary()), pa.array([len(best_s)], pa.int32()), pa.array([best_i.tobytes()], pa.binary()), pa.array([best_s.tobytes()], pa.binary())], names=["q", "qids", "n", "ids", "s"])
 
     def merge(batches):
@@ -168,14 +178,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, pool: int = 320, id
         q = qids = i = s = None
 
         def best():
-            keep = np.isfinite(s)
-            return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qids[None], i.shape)[keep]), pa.array(i[keep])], names=["query_id", "vec_id"])
+            return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qids[None], i.shape).ravel()), pa.array(i.ravel())], names=["query_id", "vec_id"])
 
         for b in batches:
             for r in b.to_pylist():
                 own_i, own_s = (np.frombuffer(r[k], t).reshape(r["n"], -1) for k, t in (("ids", np.int64), ("s", np.float32)))
                 if q == r["q"]:
-                    i, s = _top(np.concatenate([i, own_i]), np.concatenate([s, own_s]), pool)
+                    i, s = _top(np.concatenate([i, own_i]), np.concatenate([s, own_s]), pool + 1)
                     continue
                 if q is not None:
                     yield best()
@@ -185,21 +194,26 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, pool: int = 320, id
 
     scored = met.mapInArrow(score, "q int, qids binary, n int, ids binary, s binary")
     found = scored.repartition("q").sortWithinPartitions("q").mapInArrow(merge, "query_id long, vec_id long")
-    pairs = found.join(v, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("u")), "query_id").select("query_id", "vec_id", "u", "v")
+    pairs = found.join(classes, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("u")), "query_id").select("query_id", "ids", "u", "v")
 
     def exact(batches):
         for b in batches:
             s = np.einsum("ij,ij->i", _matrix(b.column(2), d), _matrix(b.column(3), d)) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["query_id", "ids", "score"])
 
-    ranked = pairs.mapInArrow(exact, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    scores = pairs.mapInArrow(exact, "query_id long, ids array<long>, score double").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _top(i: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n best of each column, in no order: greatest scores, ties to the smaller id."""
     if len(s) <= n:
         return np.ascontiguousarray(i), np.ascontiguousarray(s)
     best = np.argpartition(-s, n - 1, axis=0)[:n]
+    least = np.take_along_axis(s, best, 0).min(0)
+    for c in np.flatnonzero((s >= least).sum(0) > n):
+        best[:, c] = np.lexsort((i[:, c], -s[:, c]))[:n]
     return np.take_along_axis(i, best, 0), np.take_along_axis(s, best, 0)
 
 

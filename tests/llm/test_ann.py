@@ -56,6 +56,22 @@ def test_ties_go_to_the_smaller_id(spark):
     assert [r["vec_id"] for r in got] == [i for i in range(60) if i != 20][:20]
 
 
+def test_more_copies_than_the_pool(spark):
+    rng = np.random.default_rng(2)
+    copies = set(rng.choice(1000, 400, replace=False).tolist())
+    rows = [(i, [1.0] * 8 if i in copies else list(map(float, rng.uniform(0, 0.3, 8)))) for i in range(1000)]
+    got = {}
+    for r in ann.search(table(spark, rows).repartition(5), code_block=100).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert {q: [x[n] for n in sorted(x)] for q, x in got.items()} == {q: sorted(copies - {q})[:20] for q in range(0, 1000, 20)}
+
+
+def test_ties_at_the_end_of_a_pool():
+    i, s = np.arange(50)[::-1, None].copy(), np.ones((50, 1))
+    s[3] = 2.0
+    assert sorted(ann._top(i, s, 10)[0][:, 0].tolist()) == [*range(9), 46]
+
+
 def test_empty(spark):
     assert ann.search(table(spark, [])).count() == 0
     assert ann.search(table(spark, [(1, [1.0, 2.0])])).count() == 0
