@@ -3,6 +3,7 @@
 1. Every document's set of word shingles is hashed and sketched in one pass; documents with equal sets fall
    into one class, represented by its least id, before anything else.
 2. Representatives are banded. Members of a bucket become candidates of the bucket's least member: a star, never all pairs.
+   The pairs of a large star are split into parts, to each of which the centre's text is sent once.
 3. A candidate's signature is compared batch by batch; it is dropped once the posterior probability of
    reaching the threshold falls under `miss`; survivors are verified on their full shingle sets.
 4. Stars alone could miss a link between two members neither of which is linked to the star's centre. So in each
@@ -22,11 +23,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import TASK_ROWS, checkpoint, release
+from .common import TASK_ROWS, checkpoint, hot_rows, lookup, release, salted
 from .components import components
 
 BANDS, ROWS = 44, 6
@@ -38,12 +39,16 @@ _BAND_MULT = _RNG.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | np.uint64
 
 
 def minhash(unique: np.ndarray) -> np.ndarray:
-    """16-bit signature (one value per hash function) of a set of 64-bit hashes."""
+    """16-bit signature (one value per hash function) of a set of 64-bit hashes.
+
+    A minimum of a large set is a small number, so that it is multiplied by an odd constant before its top bits are kept: equal minima give
+    equal values, and unequal ones differ whatever the size of the sets.
+    """
     x = (unique >> np.uint64(32)).astype(np.uint32)
     least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
     for c in range(0, len(x), 2048):
         np.minimum(least, (_A * x[None, c : c + 2048] + _B).min(axis=1), out=least)
-    return (least >> np.uint32(16)).astype(np.uint16)
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
 @lru_cache(maxsize=16)
@@ -93,6 +98,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+_KEY_1, _KEY_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def set_key(unique: np.ndarray) -> np.uint64:
+    return K.mix64(unique ^ _KEY_1).sum(dtype=np.uint64)
+
+
 def _signatures(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary())])
 
@@ -101,8 +113,8 @@ def _signatures(width: int):
             n, k1, k2, sig = [], [], [], []
             for u in shingle_sets(b.column(1), width):
                 n.append(len(u))
-                k1.append(K.mix64(u ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
-                k2.append(K.mix64(u * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64))
+                k1.append(set_key(u))
+                k2.append(K.mix64(u * _KEY_2).sum(dtype=np.uint64))
                 sig.append(minhash(u).tobytes() if len(u) else None)
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), as_long(k1), as_long(k2), pa.array(sig, pa.binary())], schema=schema)
@@ -128,6 +140,12 @@ def _bands(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(reps)], names=["key", "rep"])
 
 
+def _own(sets: Iterator[np.ndarray], keys: pa.Array) -> Iterator[np.ndarray | None]:
+    """The sets that have the keys; None where an id is shared by rows of other texts and the set is not the one that was sketched."""
+    for u, key in zip(sets, keys.to_numpy(), strict=True):
+        yield u if np.uint64(key.view(np.uint64)) == set_key(u) else None
+
+
 def _verify_pairs(width: int, percent: int, miss: float):
     def run(batches):
         for b in batches:
@@ -135,8 +153,8 @@ def _verify_pairs(width: int, percent: int, miss: float):
                 c = {n: b.column(i).slice(at, 512) for i, n in enumerate(b.schema.names)}
                 alive, _ = survivors(_sig_matrix(c["sig_a"]), _sig_matrix(c["sig_b"]), percent / 100, miss)
                 keep = pa.array(alive)
-                pairs = zip(shingle_sets(c["text_a"].take(keep), width), shingle_sets(c["text_b"].take(keep), width), strict=True)
-                good = alive[[linked(x, y, percent) for x, y in pairs]] if len(alive) else alive
+                left, right = (_own(shingle_sets(c[f"text_{s}"].take(keep), width), c[f"key_{s}"].take(keep)) for s in "ab")
+                good = alive[[x is not None and y is not None and linked(x, y, percent) for x, y in zip(left, right, strict=True)]] if len(alive) else alive
                 yield pa.RecordBatch.from_arrays([c["a"].take(pa.array(good)), c["b"].take(pa.array(good))], names=["a", "b"])
 
     return run
@@ -149,7 +167,7 @@ def _verify_block(width: int, percent: int, miss: float):
         t = t.combine_chunks()
         reps, roots, own = (t.column(n).to_numpy() for n in ("rep", "root", "own"))
         sig, sets, found = _sig_matrix(t.column("sig").combine_chunks()), {}, []
-        texts = t.column("text").combine_chunks()
+        texts, set_keys = t.column("text").combine_chunks(), t.column("key").combine_chunks()
         keys = band_keys(sig)
         mine = np.flatnonzero(own)
         parent = {r: r for r in set(roots.tolist())}
@@ -174,8 +192,8 @@ def _verify_block(width: int, percent: int, miss: float):
                 continue
             for z in (x, y):
                 if z not in sets:
-                    sets[z] = next(shingle_sets(texts.slice(z, 1), width))
-            if linked(sets[x], sets[y], percent):
+                    sets[z] = next(_own(shingle_sets(texts.slice(z, 1), width), set_keys.slice(z, 1)))
+            if sets[x] is not None and sets[y] is not None and linked(sets[x], sets[y], percent):
                 parent[max(p, q)] = min(p, q)
                 found.append((reps[x], reps[y]))
         return pa.Table.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
@@ -188,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are split at ASCII white space, A-Z lower-cased; a set holds the distinct `width`-word shingles, or the whole sequence of a
     shorter text. Sets are linked where 100 * |intersection| >= percent * |union|. A null or empty text has an empty set and is
-    linked with nothing. Rows that share an id count as one document. A row without an id stays alone, with a null
+    linked with nothing. Rows that share an id are one document, linked wherever one of its texts is; n_shingles is each row's own. A row without an id stays alone, with a null
     component, and is kept. Other columns are ignored; an empty table gives no rows.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -196,29 +214,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = checkpoint(d.mapInArrow(_signatures(width), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
     n = sketch.count()
     full = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    known = full.join(classes, ["k1", "k2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig"))
-    alone = sketch.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.lit(None).cast("binary").alias("sig"))
-    known = checkpoint(known.union(alone), n, 5_000)
-    del sketch, full, classes, alone
+    # equal sets have equal signatures: any row's will do
+    classes = checkpoint(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("rows")), n, 5_000)
+    in_class = lookup(full.select("doc_id", "n_shingles", "k1", "k2"), classes.select("k1", "k2", "rep", "rows"), ["k1", "k2"], "rows", hot_rows(n))
+    alone = sketch.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))
+    known = checkpoint(in_class.select("doc_id", "n_shingles", "rep").union(alone), n)
+    per_rep = classes.groupBy("rep").agg(F.sum("rows").alias("rows"))
+    ids = known.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most"), F.count("*").alias("c")).where("c > 1")
+    shared = checkpoint(ids, n)
+    repeated = not shared.isEmpty()
+    texts_of_one = shared.where("b < most").select("doc_id", "b").join(known, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
+    reps = classes.select("rep", F.col("k1").alias("key"), "sig")
+    del sketch, full, in_class, alone, ids
     release(spark)
 
-    reps = known.where("sig is not null").select("rep", "sig")
-    bands = reps.mapInArrow(_bands, "key long, rep long")
-    lead = bands.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").select("key", "b")
-    stars = checkpoint(bands.join(lead, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), n)
+    bands = reps.select("rep", "sig").mapInArrow(_bands, "key long, rep long")
+    lead = bands.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("most"), F.count("*").alias("size")).where("b < most").select("key", "b", "size")
+    stars = checkpoint(lookup(bands, lead, "key", "size", hot_rows(BANDS * n)).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), n)
     del bands, lead
     release(spark)
     around = components(stars)
-    nodes = around.join(reps, F.col("node") == F.col("rep")).join(d.where("doc_id is not null"), F.col("node") == F.col("doc_id")).where(F.length("text") > 0).select("rep", F.col("root").alias("around"), "sig", "text")
+    nodes = around.join(reps, F.col("node") == F.col("rep")).join(d.where("doc_id is not null"), F.col("node") == F.col("doc_id")).where(F.length("text") > 0)
+    nodes = nodes.select(F.col("node").alias("rep"), "key", F.col("root").alias("around"), "sig", "text")
+    if repeated:
+        nodes = nodes.withColumn("same", F.xxhash64("text")).dropDuplicates(["rep", "key", "same"]).drop("same")
     nodes = checkpoint(nodes, n, 5_000)
     del around, reps
     release(spark)
 
-    side = lambda k: nodes.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("text").alias(f"text_{k}"))
-    pairs = stars.join(side("a"), "a").join(side("b"), "b").select("a", "sig_a", "text_a", "b", "sig_b", "text_b")
-    links = checkpoint(pairs.mapInArrow(_verify_pairs(width, percent, miss), "a long, b long"))
-    del pairs, stars
+    most = hot_rows(n)
+    sizes = stars.groupBy("b").agg(F.count("*").alias("size")).where(F.col("size") > most).select("b", salted(F.col("size"), most).alias("parts"))  # at most MOST_HOT rows
+    parts = F.coalesce("parts", F.lit(1))
+    split = stars.join(F.broadcast(sizes), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
+    centres = nodes.join(stars.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi").join(F.broadcast(sizes.withColumnRenamed("b", "rep")), "rep", "left")
+    centres = centres.select(F.col("rep").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("sig").alias("sig_b"), F.col("text").alias("text_b"), F.col("key").alias("key_b"))
+    members = nodes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("text").alias("text_a"), F.col("key").alias("key_a"))
+    pairs = split.join(members, "a").join(centres, ["b", "part"]).select("a", "sig_a", "text_a", "key_a", "b", "sig_b", "text_b", "key_b")
+    links = pairs.mapInArrow(_verify_pairs(width, percent, miss), "a long, b long")
+    links = checkpoint(links.union(texts_of_one) if repeated else links)
+    del pairs, split, centres, members, stars, shared, texts_of_one
     release(spark)
     first = components(links)
     rest = _outside(nodes, first, block).groupBy("around", "i", "j").applyInArrow(_verify_block(width, percent, miss), "a long, b long")
@@ -226,8 +260,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(stars_of.union(rest)).select(F.col("node").alias("rep"), "root")
     del nodes, links, first, rest, stars_of
     release(spark)
-    out = known.select("doc_id", "n_shingles", "rep").join(roots, "rep", "left").coalesce(1 + n // TASK_ROWS)
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # every class has a component: that of its representative where it has links, else its own
+    of_rep = per_rep.join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("component_id"), "rows")
+    linked_rows = lookup(known.where("n_shingles > 0 and doc_id is not null"), of_rep, "rep", "rows", hot_rows(n))
+    out = linked_rows.select("doc_id", "n_shingles", "component_id").union(known.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("rep").alias("component_id")))
+    return out.coalesce(1 + n // TASK_ROWS).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _outside(nodes: DataFrame, roots: DataFrame, block: int) -> DataFrame:
@@ -236,14 +273,29 @@ def _outside(nodes: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     Component sizes are found first; a component of m documents with r outside gives ceil(r/block) * ceil(m/block)
     groups of two blocks at most.
     """
-    n = nodes.select("rep", "around").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "around", F.coalesce("root", "rep").alias("root"))
+    n = nodes.select("rep", "around").distinct().join(roots, F.col("rep") == F.col("node"), "left").select("rep", "around", F.coalesce("root", "rep").alias("root"))
     groups = n.groupBy("around", "root").agg(F.count("*").alias("c"))
     shape = groups.groupBy("around").agg(F.sum("c").alias("m"), F.max(F.struct("c", F.col("root").alias("main"))).alias("top")).select("around", "m", (F.col("m") - F.col("top.c")).alias("r"), "top.main").where("r > 0")
     cuts = shape.select("around", "main", F.ceil(F.col("r") / block).cast("int").alias("ni"), F.ceil(F.col("m") / block).cast("int").alias("nj"))
     n = checkpoint(n.join(cuts, "around").withColumn("own", F.col("root") != F.col("main")).withColumn("h", F.xxhash64("rep")))
     mine = n.where("own").select("rep", "root", "around", F.lit(True).alias("own"), F.expr("cast(pmod(h, ni) as int)").alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"))
     all_ = n.select("rep", "root", "around", F.lit(False).alias("own"), F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), F.expr("cast(pmod(h, nj) as int)").alias("j"))
-    return mine.union(all_).join(nodes.select("rep", "sig", "text"), "rep").select("around", "i", "j", "rep", "root", "own", "sig", "text")
+    return mine.union(all_).join(nodes.select("rep", "key", "sig", "text"), "rep").select("around", "i", "j", "rep", "root", "own", "key", "sig", "text")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of `docs`, all columns, that stay: of each group of near duplicates the document of least id.
+
+    Where several rows have that id, the one of least hash of all columns stays. Rows without an id stay.
+    """
+    found = near_duplicates(docs, id_col, **options).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
+    judged = found.where("not _kept or _rows > 1").select(F.col("doc_id").alias("_id"), F.struct("_kept", "_rows").alias("_found"))
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    marked = docs.select(row.alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("_hash")).join(judged, "_id", "left")
+    once = marked.where("_found is null").select("_row")
+    place = F.row_number().over(Window.partitionBy("_id").orderBy("_hash"))
+    often = marked.where("_found._kept").withColumn("_place", place).where("_place = 1").select("_row")
+    return once.union(often).select("_row.*")
 
 
 def op10_near_duplicates(spark, sf_dir):

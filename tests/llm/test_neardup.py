@@ -121,3 +121,52 @@ def test_query_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.op10_near_duplicates(spark, SF).collect()}
     assert got == brute(rows, 4)
+
+
+def test_signatures_of_unlike_large_sets_differ():
+    rng = np.random.default_rng(5)
+    for n in (20_000, 60_000, 200_000):
+        sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for _ in range(4)]
+        sigs = np.stack([neardup.minhash(u) for u in sets])
+        assert max((sigs[a] == sigs[b]).mean() for a in range(4) for b in range(a)) < 0.01
+        keys = neardup.band_keys(sigs)
+        assert not any(set(keys[a].tolist()) & set(keys[b].tolist()) for a in range(4) for b in range(a))
+        close = np.unique(np.concatenate([sets[0][: int(n * 0.95)], sets[1][: int(n * 0.05)]]))
+        alive, _ = neardup.survivors(sigs[:1], neardup.minhash(close)[None], 0.8, 1e-7)
+        assert len(alive) == 1
+
+
+def test_long_unlike_texts_are_no_candidates(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 70_000) for _ in range(3)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(10 + k, edited(rng, t, 0.005)) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(documents(spark, rows), width=4).collect()}
+    assert got == brute(rows, 4)
+
+
+def test_hub_keys_are_split(spark, monkeypatch):
+    from eigenweave.llm import common
+
+    rng = random.Random(3)
+    base = prose(rng, 90)
+    rows = [(i, base) for i in range(60)] + [(100 + i, edited(rng, base, 0.01)) for i in range(80)] + [(500 + i, prose(rng, 90)) for i in range(20)]
+    monkeypatch.setattr(common, "LEAST_HOT", 7)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents(spark, rows), width=4, block=16).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 4).items()}
+
+
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(3, a), (3, b), (3, b), (2, a), (5, b), (7, c), (7, c), (8, edited(rng, b, 0.01))]
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(documents(spark, rows), width=4).collect()]
+    assert sorted(got) == sorted((i, {3: 2, 2: 2, 5: 2, 8: 2, 7: 7}[i], i in (2, 7)) for i, _ in rows)
+
+
+def test_keep_one(spark):
+    rng = random.Random(7)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(4, a), (4, a), (6, a), (9, b), (9, b), (None, b), (11, None), (12, "")]
+    got = neardup.keep_one(clashing(documents(spark, rows)))
+    assert got.columns == clashing(documents(spark, rows)).columns
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == ["11", "12", "4", "9", "None"]
