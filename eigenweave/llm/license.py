@@ -4,8 +4,8 @@ The index is built from short license templates: every template word gets an inv
 over the templates, and the rarest positions of each are posted. For each file all the licence words it
 contains are looked up and their postings intersected by relative
 position: postings that agree on (template, file position - template position) vote for one place. A template
-with enough votes at one place is verified by its mandatory key phrases. The whole scan is a projection of the row:
-no shuffle, no join, and the index (a few hundred postings) is a literal of the plan.
+with enough votes at one place is verified by its mandatory key phrases, which must stand inside that place. The whole scan is a
+projection of the row, linear in its words: no shuffle, no join, and the index (a few hundred postings) is a literal of the plan.
 
 Besides, three base phrases are counted wherever their words stand consecutively.
 """
@@ -47,9 +47,39 @@ TEMPLATES = (
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     ("cc0", "dedicated to the public domain under cc0 1 0", ("cc0 1 0",)),
+    ("mit", "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("to whom the software is furnished to do so",)),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("this permission notice shall be included",)),
+    ("apache-2.0", "apache license version 2 0 january 2004", ("apache license version 2 0",)),
+    ("apache-2.0", "you may not use this file except in compliance with the license", ("except in compliance with the license",)),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("unless required by applicable law or agreed to in writing",)),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007", ("general public license", "version 3 29 june 2007")),
+    ("gpl-2.0", "gnu general public license version 2 june 1991", ("general public license", "version 2 june 1991")),
+    ("lgpl", "redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("lesser general public license",)),
+    ("lgpl", "gnu library general public license", ("gnu library general public license",)),
+    ("agpl-3.0", "redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ("affero general public license", "version 3")),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain the above copyright notice",)),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form must reproduce the above copyright notice",)),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("may be used to endorse or promote products derived from this software",)),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("anyone is free to copy modify publish use compile sell or distribute this software",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", ("altered source versions must be plainly marked as such",)),
+    ("bsl-1.0", "boost software license version 1 0 august 17th 2003", ("boost software license",)),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ("boost software license",)),
+    ("epl-2.0", "made available under the terms of the eclipse public license v 2 0", ("eclipse public license v 2 0",)),
+    ("mpl-2.0", "mozilla public license version 2 0", ("mozilla public license version 2 0",)),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ("sil open font license",)),
+    ("artistic-2.0", "licensed under the artistic license 2 0", ("artistic license 2 0",)),
+    ("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0", ("cc by nc sa 4 0",)),
+    ("cc-by-nc-nd-4.0", "licensed under cc by nc nd 4 0", ("cc by nc nd 4 0",)),
+    ("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial 4 0",)),
+    ("cc-by-nd-4.0", "licensed under a creative commons attribution noderivatives 4 0 international license", ("creative commons attribution noderivatives 4 0",)),
+    ("cc-by-nc-sa-4.0", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ("creative commons attribution noncommercial sharealike 4 0",)),
+    ("cc-by-3.0", "licensed under cc by 3 0", ("cc by 3 0",)),
+    ("cc-by-sa-3.0", "licensed under cc by sa 3 0", ("cc by sa 3 0",)),
+    ("odbl-1.0", "made available under the open database license", ("open database license",)),
 )
 #: Words of everyday prose, of little use to rule texts out.
-_PLAIN = frozenset("a and by charge fee forms free hereby in is of or public source the use version with without".split())
+_PLAIN = frozenset("a above all and any anyone applicable as at be binary by charge copies copy copyright do except fee following for form forms free hereby held in included is it july june law list may modify must name no notice of on open or original permission place public publish purpose sell shall software source such the this to under use version will with without writing".split())
 RAREST, AGREE = 6, 0.75
 
 
@@ -109,14 +139,14 @@ def _n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"{CHAR}+"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A null text is empty: no words, no labels ('' in both columns), null first and last word, score 0. Base phrases never overlap, so all their
     places are counted. Score is the greatest share of a verified template's posted words found in place; 0.5 where
     only base phrases are found. Other columns are ignored; repeated rows are scanned each; an empty table gives none.
     """
-    idf, postings, posted = build_index()
+    idf, postings, posted = build_index(templates)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     # No label without one of its mandatory words: a plain substring search, on a lower-cased copy, rules most texts out
@@ -124,7 +154,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     d = d.withColumn("n_words", _n_words(F.col("t")).cast("long")).withColumn("_l", F.lower("t"))
     likely = _has_any(F.col("_l"), stems([set(p.split()) for p, _ in BASE]))
     d = d.withColumn("n_base", F.when(likely, F.regexp_count("t", F.lit(BASE_PATTERN))).otherwise(0).cast("long"))
-    d = d.withColumn("_gate", _has_any(F.col("_l"), stems([{w for k in ks for w in k.split() if not w.isdigit()} for _, _, ks in TEMPLATES])) & F.col("t").rlike(_whole(_trie(list(idf)))))
+    d = d.withColumn("_gate", _has_any(F.col("_l"), stems([{w for k in ks for w in k.split() if not w.isdigit()} for _, _, ks in templates])) & F.col("t").rlike(_whole(_trie(list(idf)))))
 
     some = F.col("n_base") > 0
     pieces, places = F.split("t", BASE_PATTERN, -1), F.regexp_extract_all("t", F.lit(BASE_PATTERN), F.lit(0))
@@ -145,20 +175,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     d = d.withColumn("_v", F.array_sort(votes))
     need = F.array(*[F.lit(max(1, ceil(AGREE * n))) for n in posted])
     full = F.array(*[F.lit(float(n)) for n in posted])
-    agreed = F.filter("_v", lambda v, i: F.get("_v", i + F.get(need, v["t"]) - 1) == v)
-    keys = F.array(*[F.array(*[F.lit(f" {k} ") for k in ks]) for _, _, ks in TEMPLATES])
-    joined = F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))
-    d = d.withColumn("_j", F.when(F.size("_v") > 0, joined).otherwise(""))
-    d = d.withColumn("_c", F.filter(F.array_distinct(F.transform(agreed, lambda v: v["t"])), lambda t: F.forall(F.get(keys, t), lambda k: F.contains(F.col("_j"), k))))
-    names = F.array(*[F.lit(n) for n, _, _ in TEMPLATES])
-    labels = F.array_sort(F.array_distinct(F.concat("_base", F.transform("_c", lambda t: F.get(names, t)))))
-    zero = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0.0).alias("best"))
-
-    def step(a: Column, v: Column) -> Column:
-        n = F.when((a["t"] == v["t"]) & (a["at"] == v["at"]), a["n"] + 1).otherwise(1)
-        return F.struct(v["t"].alias("t"), v["at"].alias("at"), n.alias("n"), F.greatest(a["best"], n / F.get(full, v["t"])).alias("best"))
-
-    best = F.aggregate(F.filter("_v", lambda v: F.array_contains("_c", v["t"])), zero, step)["best"]
+    length = F.array(*[F.lit(len(t.split())) for _, t, _ in templates])
+    same = lambda v, i: F.coalesce(F.get("_v", i) == v, F.lit(False))
+    # Sorted votes of one place stand together: where a run of enough of them begins, a place is found.
+    runs = F.filter(F.transform("_v", lambda v, i: F.struct(v["t"].alias("t"), v["at"].alias("at"), v.alias("v"), i.alias("i"))), lambda r: same(r["v"], r["i"] + F.get(need, r["v"]["t"]) - 1) & ~same(r["v"], r["i"] - 1))
+    found = F.transform(runs, lambda r: F.struct(r["t"].alias("t"), r["at"].alias("at"), reduce(lambda x, y: x + y, [same(r["v"], r["i"] + k).cast("int") for k in range(RAREST)]).alias("n")))
+    d = d.withColumn("_p", found)
+    keys = F.array(*[F.array(*[F.lit(f" {k} ") for k in ks]) for _, _, ks in templates])
+
+    def words_of(p: Column) -> Column:
+        own = F.slice("_w", F.greatest(p["at"], F.lit(0)) + 1, F.get(length, p["t"]) + F.least(p["at"], F.lit(0)))
+        return F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))
+
+    placed = F.transform("_p", lambda p: F.struct(p["t"].alias("t"), p["n"].alias("n"), words_of(p).alias("own")))
+    d = d.withColumn("_c", F.filter(placed, lambda p: F.forall(F.get(keys, p["t"]), lambda k: F.contains(p["own"], k))))
+    names = F.array(*[F.lit(n) for n, _, _ in templates])
+    labels = F.array_sort(F.array_distinct(F.concat("_base", F.transform("_c", lambda p: F.get(names, p["t"])))))
+    best = F.array_max(F.transform("_c", lambda p: p["n"] / F.get(full, p["t"])))
     score = F.when(F.size("_c") > 0, best).when(some, 0.5).otherwise(0.0)
     return d.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
 
