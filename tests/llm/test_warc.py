@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 from pathlib import Path
 
@@ -54,6 +55,87 @@ def test_files(spark, pages, tmp_path):
     assert (r["status"], r["content_type"], r["payload"], r["warc_type"]) == (404, "text/html", "<p>gone</p>", "response")
 
 
+def _warc(kind, number, block, *more):
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{number}>", "WARC-Date: 2023-05-06T07:08:09Z", *more, f"Content-Length: {len(block)}"]
+    return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_responses_of_a_file_are_derived(spark, tmp_path):
+    latin = "<html><head><title>Caf\u00e9</title><body><p>d\u00e9j\u00e0 vu</p></body></html>".encode("latin-1")
+    one = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nX-Folded: left\r\n right\r\n\r\n" + latin
+    two = b"HTTP/1.1 404 Gone\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\n\r\n4\r\n<p>g\r\n7\r\none</p>\r\n0\r\n\r\n"
+    file = _warc("warcinfo", 1, b"software: x\r\n") + _warc("request", 2, b"GET / HTTP/1.1\r\n\r\n")
+    file += _warc("response", 3, one, "WARC-Target-URI: http://a/x", "WARC-IP-Address: 192.0.2.7", "WARC-Payload-Digest: sha1:ABCDEF", "Content-Type: application/http; msgtype=response")
+    file += _warc("response", 4, two, "WARC-Target-URI: http://a/y") + _warc("response", 4, two, "WARC-Target-URI: http://a/y") + _warc("response", 5, b"")
+    members = [gzip.compress(file[:200]), gzip.compress(file[200:])]
+    (tmp_path / "r.warc.gz").write_bytes(b"".join(members))
+    source = warc.read_warc(spark, str(tmp_path / "r.warc.gz"), batch_bytes=1)
+    assert source.count() == 6
+    rows = warc.derive(source).collect()
+    by = {(r["refers_to"], r["warc_type"]): r for r in rows}
+    assert len(rows) == 8 and "page_id" not in rows[0].asDict()
+    m, c = by["<urn:uuid:3>", "metadata"], by["<urn:uuid:3>", "conversion"]
+    assert c["block"] == "d\u00e9j\u00e0 vu" and c["date"] == "2023-05-06T07:08:09Z" and c["target_uri"] == "http://a/x"
+    fields = [x.partition(": ")[::2] for x in m["block"].split("\r\n") if x]
+    assert [v for k, v in fields if k == "http-header-Set-Cookie"] == ["a=1", "b=2"]
+    assert {("title", "Caf\u00e9"), ("http-status", "200"), ("source-record-id", "<urn:uuid:3>"), ("source-payload-digest", "sha1:ABCDEF"), ("warc-header-WARC-IP-Address", "192.0.2.7"), ("http-header-X-Folded", "left right"),
+            ("warc-header-Content-Length", str(len(one))), ("warc-header-WARC-Payload-Digest", "sha1:ABCDEF")} <= set(fields)
+    assert m["source_digest"] == c["source_digest"] == "sha1:ABCDEF"
+    gone = by["<urn:uuid:4>", "conversion"]
+    assert gone["block"] == "gone" and gone["source_digest"] == "sha256:" + hashlib.sha256(b"<p>gone</p>").hexdigest() and by["<urn:uuid:5>", "conversion"]["block"] == ""
+    out = str(tmp_path / "derived")
+    warc.write_warc(warc.derive(source), out)
+    back = warc.read_warc(spark, out + "/*.gz").collect()
+    assert sorted((r["record_id"], r["payload"]) for r in back) == sorted((r["record_id"], r["block"]) for r in rows)
+    for r in back:
+        head = {h["name"]: h["value"] for h in r["headers"]}
+        assert head["WARC-Block-Digest"] == r["raw_digest"] and head["WARC-Refers-To"] in {"<urn:uuid:3>", "<urn:uuid:4>", "<urn:uuid:5>"}
+
+
+def test_plain_text_by_a_parser(spark):
+    """The text of pages against a parser of another make."""
+    from html.parser import HTMLParser
+
+    from pyspark.sql import functions as F
+
+    blocks = set("p div br hr h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr table section article header footer nav main blockquote pre form head body html".split())
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.hidden = [], None
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden = self.hidden or (tag if tag in ("script", "style", "title", "template") else None)
+            self.out.append("\n" if tag in blocks else " " if self.hidden else "")
+
+        def handle_comment(self, data):
+            self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            self.hidden = None if tag == self.hidden else self.hidden
+            self.out.append("\n" if tag in blocks else "")
+
+        def handle_data(self, data):
+            self.out.append("" if self.hidden else data)
+
+    def lines(text):
+        return [" ".join(x.split()) for x in text.replace("\xa0", " ").split("\n") if x.split()]
+
+    texts = ["<head><title>T</title><body><p>All the text", "<p>a &amp;lt; b&nbsp;&eacute; &#233;&#xE9; &euro; &#128; &unknown; &#0; &#x1F600; &#55296;</p>", "<ul><li>x<li>y</ul>z<template>no</template>!", "a &amp b &", "<title>only"]
+    if Path(SF).is_dir():
+        texts += [r[0] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect() if r[0]]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, h string").select("k", warc.plain_text(F.col("h"))).collect()
+    for k, t in got:
+        if k in (3, 4):
+            assert t == ("a &amp b &", "")[k - 3]
+            continue
+        want = Text()
+        want.feed(texts[k])
+        want.close()
+        assert lines(t) == lines("".join(want.out)), texts[k]
+
+
 def test_columns_with_clashing_names(spark, pages):
     from pyspark.sql import functions as F
 
