@@ -2,8 +2,8 @@
 
 Bytes are embedded, filters of several widths slide over fixed-length windows, each filter is max-pooled over
 its window, and a softmax layer gives the language. The network is trained on the driver on a bounded
-sample of labelled texts (`per_lang` documents of each language, `windows` windows of each) and shipped, some tens of
-kilobytes, with the plan. Prediction reads every window of every text; windows overlap by the widest
+sample of labelled texts (`per_lang` documents of each language, fewer where there are very many languages, and `windows` windows of each)
+and shipped, some tens of kilobytes, with the plan. Prediction reads every window of every text; windows overlap by the widest
 filter less one, so no n-gram is lost at a seam. A document's log-probability is the mean of its windows', by length.
 """
 
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 12
 WIDEST = max(WIDTHS)
 STRIDE = WINDOW - WIDEST + 1
 UNDETERMINED = "und"
-#: With 4 times as many expected, fewer than wanted are found with a probability under 1e-100.
-MARGIN = 4
+#: Rows of a language are ranked in so many parts first, so that none is ranked whole by one task.
+SALTS = 64
 
 
 def cut(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,20 +111,27 @@ class ByteCNN:
         return self
 
 
-def fit(labelled: DataFrame, per_lang: int = 300, windows: int = 16, most_langs: int = 500, seed: int = 11) -> ByteCNN | None:
-    """Train on (doc_id, text, lang): at most `per_lang` documents of each language, those of least id hash.
+def fit(labelled: DataFrame, per_lang: int = 300, windows: int = 16, most_documents: int = 60_000, seed: int = 11) -> ByteCNN | None:
+    """Train on (doc_id, text, lang): of each language `per_lang` documents, those of least hash of id and text.
 
-    Rows without text or label are left out; None if nothing is left. The sample's bound is per_lang * most_langs texts, of each of which
-    at most `windows` windows, evenly spaced, reach the driver.
+    Every language is learned. With so many that `per_lang` of each were more than `most_documents` in all, each has fewer, one at least. Null ids
+    hash like any other value; equal rows count each, and no more than `per_lang` of them are taken. Rows without text or label are left out; None if nothing
+    is left. At most `windows` windows of a document, evenly spaced, reach the driver.
     """
-    d = labelled.where("text is not null and lang is not null")
-    # Of a language with many documents only those whose id hashes low enough can be among the first: a few times as many as are wanted are ranked.
-    counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
-    cuts = [(r["lang"], min(2**63 - 1, int(-(2**63) + MARGIN * per_lang / r["count"] * 2**64))) for r in counts]
-    cuts = F.broadcast(labelled.sparkSession.createDataFrame(cuts, "lang string, _cut long"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    near = d.select("doc_id", "lang").join(cuts, "lang").where(F.xxhash64("doc_id") <= F.col("_cut"))
-    ids = near.withColumn("_k", rank).where(F.col("_k") <= per_lang).select("doc_id", "lang")
+    own = F.xxhash64("doc_id", "text")
+    d = labelled.where("text is not null and lang is not null").select("text", "lang", own.alias("h"))
+    n_langs = d.select("lang").distinct().count()
+    if not n_langs:
+        return None
+    per_lang = max(1, min(per_lang, most_documents // n_langs))
+
+    def least(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("place") <= per_lang).drop("place")
+
+    # The greatest hash among the first of each language, found on hashes alone; then the rows up to it, no more than are wanted.
+    first = least(least(d.select("lang", "h").withColumn("salt", F.pmod(F.xxhash64("h", F.spark_partition_id()), F.lit(SALTS))), "lang", "salt"), "lang")
+    cuts = F.broadcast(first.groupBy("lang").agg(F.max("h").alias("cut")))  # one row a language
+    chosen = least(d.join(cuts, "lang").where("h <= cut"), "lang").select("text", "lang")
 
     def sample(batches):
         for b in batches:
@@ -137,7 +145,6 @@ def fit(labelled: DataFrame, per_lang: int = 300, windows: int = 16, most_langs:
             x = gather(buf, start, length) if len(row) else np.zeros((0, WINDOW), np.uint8)
             yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(row)), pa.array([w.tobytes() for w in x], pa.binary())], names=["lang", "x"])
 
-    chosen = d.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("text", "lang")
     rows = chosen.mapInArrow(sample, "lang string, x binary").toPandas()
     if rows.empty:
         return None
@@ -146,7 +153,7 @@ def fit(labelled: DataFrame, per_lang: int = 300, windows: int = 16, most_langs:
     x = np.frombuffer(b"".join(rows["x"]), np.uint8).reshape(-1, WINDOW)
     y = rows["lang"].map({name: k for k, name in enumerate(langs)}).to_numpy()
     rng = np.random.default_rng(seed)
-    return ByteCNN.fresh(langs, rng).train(x, y, rng)
+    return ByteCNN.fresh(langs, rng).train(x, y, rng, steps=max(700, 3 * len(langs)))
 
 
 def _predict(model: ByteCNN | None):
@@ -200,8 +207,11 @@ def op6_language_id(spark, sf_dir):
     return predict(docs, fit_documents(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: ByteCNN | None, least: float = 0.35, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, whose language is determined with at least probability `least`."""
+def keep_identified(docs: DataFrame, model: ByteCNN | None, least: float = 0.35, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """The rows of `docs`, all columns, whose language is determined with at least probability `least`.
+
+    With `lang_col` that column, where it is null, is filled with the prediction; a label that is there stays.
+    """
     judge = _predict(model)
 
     def run(batches):
@@ -210,7 +220,11 @@ def keep_identified(docs: DataFrame, model: ByteCNN | None, least: float = 0.35,
             own = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(b.schema.get_field_index(text_col)), letters], names=["doc_id", "text", "letters"])
             for p in judge([own]):
                 good = (p.column(2).to_numpy(zero_copy_only=False) >= least) & (p.column(1).to_numpy(zero_copy_only=False) != UNDETERMINED)
-                yield b.select(list(range(b.num_columns - 1))).filter(pa.array(good))
+                kept = b.select(list(range(b.num_columns - 1)))
+                if lang_col is not None:
+                    at = kept.schema.get_field_index(lang_col)
+                    kept = kept.set_column(at, lang_col, pc.coalesce(kept.column(at), p.column(1).cast(kept.column(at).type)))
+                yield kept.filter(pa.array(good))
 
     own = "_letters"
     while own in docs.columns:

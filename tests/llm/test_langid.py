@@ -52,6 +52,34 @@ def test_predictions_see_the_text_alone(spark, rows, model):
     assert a == [r["lang_pred"] for r in langid.predict(other, model).orderBy("doc_id").collect()]
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(4)
+    one = text(rng, B, 20)
+    many = [(k, text(rng, A, 6), f"l{k % 501:03}") for k in range(1002)]
+    assert langid.fit(documents(spark, many), per_lang=2, windows=1).langs == sorted({r[2] for r in many})
+    rows = [(7, text(rng, A, 20), "aa") for _ in range(900)] + [(None, text(rng, B, 20), "bb") for _ in range(900)] + [(k, one, "cc") for k in range(900)] + [(5, "ki ku", "dd")]
+    sizes = []
+    plain = langid.ByteCNN.train
+
+    def seen(self, x, y, *a, **k):
+        sizes.append(np.bincount(y).tolist())
+        return plain(self, x, y, *a, **{**k, "steps": 5})
+
+    langid.ByteCNN.train = seen
+    try:
+        d = documents(spark, rows).repartition(5)
+        assert langid.fit(d, per_lang=40, windows=1).langs == ["aa", "bb", "cc", "dd"] and sizes[-1] == [40, 40, 40, 1]
+        assert langid.fit(d, per_lang=40, windows=1, most_documents=12).langs == ["aa", "bb", "cc", "dd"] and sizes[-1] == [3, 3, 3, 1]
+    finally:
+        langid.ByteCNN.train = plain
+
+
+def test_predicted_language_fills_the_gap(spark, model):
+    rng = random.Random(5)
+    d = documents(spark, [(1, text(rng, A, 30), None), (2, text(rng, B, 30), None), (3, text(rng, A, 30), "xx"), (4, None, None)])
+    assert {(r["doc_id"], r["lang"]) for r in langid.keep_identified(d, model, lang_col="lang").collect()} == {(1, "aa"), (2, "bb"), (3, "xx")}
+
+
 def test_without_labels(spark):
     d = documents(spark, [(1, "ka lo", None), (2, None, "aa")])
     assert langid.fit_documents(d) is None
