@@ -46,21 +46,25 @@ def test_base_against_brute_force(rows, scored):
 
 
 def test_score_is_the_interpolated_model(rows, scored):
-    """The scores are those of some mixture: recomputed with weights learned from the same held-out counts."""
+    """Against the model in plain Python, its weights learned by EM on each deleted token's own estimates."""
     docs = [(i, [*words(t), "\n"]) for i, t in rows]
     train = [ws for i, ws in docs if not out(i)]
     c, b = Counter(w for ws in train for w in ws), Counter(p for ws in train for p in zip(["\r", *ws], ws, strict=False))
     n, v = sum(c.values()), len(c)
     c["\r"] = c["\n"]
-    cells = Counter()
+    tokens = []
     for ws in train:
         for h, w in zip(["\r", *ws], ws, strict=False):
-            hh, bb, uu = c[h] - 1, b[h, w] - 1, c[w] - 1
-            p2 = bb / max(hh, 1) if hh > 0 else 0.0
-            k = (int(lm.bucket(np.array([float(hh)]))[0]) * lm.N2 + int(lm._bins(np.array([p2]), lm.B2, lm.N2)[0])) * lm.N1 + int(lm._bins(np.array([uu / (n - 1)]), lm.B1, lm.N1)[0])
-            cells[k] += 1
-    weights = lm.learn_weights(np.array(list(cells)), np.array(list(cells.values())), v)
-    assert np.allclose(weights.sum(1), 1) and (weights >= 0).all()
+            hh = c[h] - 1
+            tokens.append((int(math.log2(hh + 1)), (b[h, w] - 1) / hh if hh > 0 else 0.0, (c[w] - 1) / (n - 1)))
+    weights = [[1 / 3] * 3 for _ in range(lm.BUCKETS)]
+    for _ in range(60):
+        total = [[1e-3] * 3 for _ in range(lm.BUCKETS)]
+        for k, p2, p1 in tokens:
+            share = [x * y for x, y in zip(weights[k], (p2, p1, 1 / (v + 1)), strict=True)]
+            for j, x in enumerate(share):
+                total[k][j] += x / sum(share)
+        weights = [[x / sum(t) for x in t] for t in total]
 
     def log_p(ws):
         total = 0.0
@@ -72,7 +76,7 @@ def test_score_is_the_interpolated_model(rows, scored):
 
     want = sorted(((i if i is not None else -1), round(log_p(ws), 4)) for i, ws in docs)
     got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), round(r["score"], 4)) for r in scored)
-    assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-6, atol=2e-4)
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=2e-3, atol=2e-3)
 
 
 def test_bigrams_help_on_held_out_text(spark):
@@ -90,6 +94,16 @@ def test_bigrams_help_on_held_out_text(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+@pytest.mark.parametrize("part_bytes, step_bits", [(1 << 12, 2), (1 << 11, 3), (1 << 14, 1)])
+def test_exchange_in_many_steps(spark, rows, scored, part_bytes, step_bits):
+    d = documents(spark, rows).repartition(7)
+    got = sorted(lm.score(d, batch_bytes=1 << 11, part_bytes=part_bytes, step_bits=step_bits).collect(), key=str)
+    assert len(lm.steps(6, 2)) == 3 and lm.steps(7, 6) == [4, 3] and lm.steps(3) == [3]
+    want = sorted(scored, key=str)
+    key = lambda r: (str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 5))
+    assert sorted(map(key, got)) == sorted(map(key, want))
+
+
 def test_empty_and_untrained(spark):
     assert lm.score(documents(spark, []).limit(0)).count() == 0
     i = next(i for i in range(100) if out(i))
