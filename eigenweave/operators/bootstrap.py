@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import signs
-from ..plans.matrix import MOST_GRAM, RowMatrix, X, block
+from ..plans.matrix import MOST_GRAM, RowMatrix, X, block, tasks, tree
 from ..plans.order import SID, indexed
 from .base import Model, small
 from .single import EOF
@@ -91,14 +92,15 @@ class EOFBootstrapper(Model):
                 for q in b.to_pylist():
                     v = np.frombuffer(q["part"])
                     sums[q["r"]] = v if q["r"] not in sums else sums[q["r"]] + v
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["r", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary()), pa.array([TaskContext.get().partitionId()] * len(sums), pa.int64())], names=["r", "part", "task"])
 
         def add(t):
-            out = np.sum([np.frombuffer(v.as_py()) for v in t.column("part")], axis=0)
+            out = sum(np.frombuffer(v.as_py()) for v in t.column("part"))
             return pa.table({"r": t.column("r")[:1], "part": pa.array([out.tobytes()], pa.binary())})
 
         kind = "r int, part binary"
-        for q in placed.groupBy("__b").applyInArrow(weigh, kind).mapInArrow(fold, kind).groupBy("r").applyInArrow(add, kind).collect():  # a small matrix a replicate
+        weighed = placed.groupBy("__b").applyInArrow(weigh, kind)
+        for q in tree(weighed.mapInArrow(fold, f"{kind}, task long"), tasks(weighed), "r", add, kind).collect():  # a small matrix a replicate
             v = np.frombuffer(q["part"])
             yield q["r"], v[: p * p].reshape(p, p), v[p * p :]
 

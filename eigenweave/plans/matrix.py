@@ -2,7 +2,7 @@
 
 A row is its key columns, a dense array `x` and, for complex data, its imaginary part `xi`; a row whose cells were all
 missing has a null array and takes part in nothing. All sums are of bounded size: p x l matrices that the
-driver holds, added up within tasks and then by chunks of rows across tasks, never gathered as parts on the driver.
+driver holds, added up within tasks and then across tasks as a tree: by chunks, FAN parts of a chunk at a time.
 """
 
 from __future__ import annotations
@@ -12,12 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 X, XI = "__x", "__xi"
-ROWS, CHUNK_BYTES = 4096, 8 << 20
+ROWS, CHUNK_BYTES = 4096, 4 << 20
+#: Parts that one task of a sum adds up at most; more tasks than that add up in levels.
+FAN = 32
+#: No job has more tasks than this; a plan that does not tell its size gets as many levels.
+MOST_TASKS = 1 << 18
 #: A Gram matrix of at most so many columns is summed whole (128 MB); wider matrices are sketched.
 MOST_GRAM = 4096
 
@@ -48,13 +53,36 @@ def slices(batches, most: int = ROWS):
             yield b.slice(at, most)
 
 
+def tasks(df: DataFrame) -> int:
+    """How many tasks will compute df, as far as its plan tells: the partitions it ends in, else those its size makes."""
+    plan = df._jdf.queryExecution()
+    known = plan.executedPlan().outputPartitioning().numPartitions()
+    if known:
+        return min(known, MOST_TASKS)
+    per = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return max(1, min(MOST_TASKS, int(str(plan.optimizedPlan().stats().sizeInBytes())) // per))
+
+
+def tree(parts: DataFrame, n: int, by: str, add: Callable, schema: str) -> DataFrame:
+    """One row for each value of `by`: parts of n tasks (column `task`), added up by `add`, a function of an Arrow table, FAN tasks' at a time."""
+    while n > FAN:
+        n = -(-n // FAN)
+        up = parts.withColumn("task", F.floor(F.col("task") / FAN).cast("long"))
+
+        def level(key, t):
+            return add(t.drop_columns("task")).append_column("task", t.column("task")[:1])
+
+        parts = up.groupBy(by, "task").applyInArrow(level, f"{schema}, task long")
+    return parts.drop("task").groupBy(by).applyInArrow(add, schema)
+
+
 def total(df: DataFrame, shape: tuple[int, ...], work: Callable, dtype=np.float64) -> np.ndarray:
     """Sum over all batches of `work(batch)`, arrays of `shape`; tasks add up their own, then chunks are added across tasks."""
     size = int(np.prod(shape)) if shape else 1
     width = max(1, CHUNK_BYTES // np.dtype(dtype).itemsize)
 
     def run(batches):
-        out = None
+        out, task = None, TaskContext.get().partitionId()
         for b in slices(batches):
             if b.num_rows:
                 add = work(b)
@@ -62,7 +90,7 @@ def total(df: DataFrame, shape: tuple[int, ...], work: Callable, dtype=np.float6
         if out is not None:
             flat = np.ascontiguousarray(out, dtype).ravel()
             cuts = range(0, size, width)
-            yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int64()), pa.array([flat[c : c + width].tobytes() for c in cuts], pa.binary())], names=["at", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int64()), pa.array([flat[c : c + width].tobytes() for c in cuts], pa.binary()), pa.array([task] * len(cuts), pa.int64())], names=["at", "part", "task"])
 
     def add(t):
         out = None
@@ -71,7 +99,7 @@ def total(df: DataFrame, shape: tuple[int, ...], work: Callable, dtype=np.float6
             out = v.copy() if out is None else out + v
         return pa.table({"at": t.column("at")[:1], "part": pa.array([out.tobytes()], pa.binary())})
 
-    parts = df.mapInArrow(run, "at long, part binary").groupBy("at").applyInArrow(add, "at long, part binary").collect()  # size of `shape`
+    parts = tree(df.mapInArrow(run, "at long, part binary, task long"), tasks(df), "at", add, "at long, part binary").collect()  # size of `shape`
     out = np.zeros(size, dtype)
     for r in parts:
         v = np.frombuffer(r["part"], dtype)

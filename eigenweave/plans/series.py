@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.hilbert import hilbert
-from .matrix import XI, RowMatrix, X, arrays, block, slices, total
+from .matrix import XI, RowMatrix, X, arrays, block, slices, tasks, total, tree
 from .order import SID, indexed, with_halo
 
 #: A series of one feature is transformed in one task, as its spectrum needs all of it: at most so many samples (half a gigabyte, padded).
@@ -91,14 +92,15 @@ def lagged_products(m: RowMatrix, lags: Sequence[int]) -> dict[int, tuple[int, n
                     sums[r["lag"]][1] = sums[r["lag"]][1] + v
                 else:
                     sums[r["lag"]] = [r["n"], v]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], names=["lag", "n", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1].tobytes() for s in sums.values()], pa.binary()), pa.array([TaskContext.get().partitionId()] * len(sums), pa.int64())], names=["lag", "n", "part", "task"])
 
     def add(t):
-        total = np.sum([np.frombuffer(v.as_py(), dtype) for v in t.column("part")], axis=0)
+        total = sum(np.frombuffer(v.as_py(), dtype) for v in t.column("part"))
         return pa.table({"lag": t.column("lag")[:1], "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "part": pa.array([total.tobytes()], pa.binary())})
 
     kind = "lag int, n long, part binary"
-    found = groups.groupBy("__g").applyInArrow(work, kind).mapInArrow(fold, kind).groupBy("lag").applyInArrow(add, kind).collect()  # one small matrix a lag
+    products = groups.groupBy("__g").applyInArrow(work, kind)
+    found = tree(products.mapInArrow(fold, f"{kind}, task long"), tasks(products), "lag", add, kind).collect()  # one small matrix a lag
     return {r["lag"]: (r["n"], np.frombuffer(r["part"], dtype).reshape(p, p)) for r in found}
 
 
