@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 
@@ -8,6 +9,7 @@ from eigenweave.llm import pii
 
 from .helpers import clashing, documents, prose
 
+SF = "/root/testdata/sf0.001"
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -59,13 +61,27 @@ def test_base_against_brute_force(spark, texts):
     ("ip 192[.]168[.]1[.]10 down", "ip", "192[.]168[.]1[.]10"),
     ("pay 4111 1111 1111 one one one one", "card", "4111 1111 1111 one one one one"),
     ("call +1 415 five five five 0100", "phone", "+1 415 five five five 0100"),
+    ("mail john&#64;mail&#46;com now", "email", "john&#64;mail&#46;com"),
+    ("mail john&#x40;mail.com now", "email", "john&#x40;mail.com"),
+    ("mail john&commat;mail&period;com now", "email", "john&commat;mail&period;com"),
+    ("mail j o h n @ m a i l . c o m now", "email", "j o h n @ m a i l . c o m"),
+    ("ruf plus vier neun drei null eins zwei drei vier fünf sechs sieben an", "phone", "plus vier neun drei null eins zwei drei vier fünf sechs sieben"),
+    ("appelez zéro six deux trois quatre cinq six sept huit neuf svp", "phone", "zéro six deux trois quatre cinq six sept huit neuf"),
+    ("llama seis cinco cuatro tres dos uno cero nueve ocho siete ya", "phone", "seis cinco cuatro tres dos uno cero nueve ocho siete"),
+    ("schreib an hans (ät) post punkt de bitte", "email", "hans (ät) post punkt de"),
+    ("écrivez à jean arobase poste point fr vite", "email", "jean arobase poste point fr"),
+    ("escribe a juan arroba correo punto es ya", "email", "juan arroba correo punto es"),
+    ("escribe a juan [arroba] correo [punto] es ya", "email", "juan [arroba] correo [punto] es"),
+    ("call four one five double five five oh one double oh now", "phone", "four one five double five five oh one double oh"),
+    ("host 192.one six eight.zero.one is up", "ip", "192.one six eight.zero.one"),
+    ("host 10[dot]0[dot]0[dot]7 is up", "ip", "10[dot]0[dot]0[dot]7"),
 ])
 def test_disguises_map_back(text, kind, hidden):
     plain, spans = pii.find_spans(text)
     assert (kind, text.index(hidden), text.index(hidden) + len(hidden)) in spans and set(plain) <= set(spans)
 
 
-@pytest.mark.parametrize("text", ["we met at noon dot the end", "look at this", "one two three", "at the dot com boom at home", "nine lives, one two", "prose without data", "meet me at ten", "versions 1 dot 2 dot 3 are out", "300 dot 1 dot 1 dot 1", "look_at_this", "chapter one, two, three and 1999"])
+@pytest.mark.parametrize("text", ["we met at noon dot the end", "look at this", "one two three", "at the dot com boom at home", "nine lives, one two", "prose without data", "meet me at ten", "versions 1 dot 2 dot 3 are out", "300 dot 1 dot 1 dot 1", "look_at_this", "chapter one, two, three and 1999", "un deux trois soleil", "eins zwei drei vier", "a b c d e f g h", "x & y &#64; z", "der punkt ist klar", "double or nothing", "null punkt eins"])
 def test_prose_is_left_alone(text):
     assert pii.find_spans(text) == ([], [])
 
@@ -77,6 +93,57 @@ def test_tape_offsets():
     assert u.text == "axyz!d" and u.source(1, 3) == (1, 7)
 
 
+def test_tape_against_lists_of_offsets():
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 30)))
+        tape, starts, ends = pii.Tape(text), list(range(len(text))), list(range(1, len(text) + 1))
+        for _ in range(3):
+            edits, at = [], 0
+            while at < len(tape.text) and rng.random() < 0.8:
+                a = rng.randint(at, len(tape.text) - 1)
+                b = rng.randint(a + 1, min(len(tape.text), a + 4))
+                edits.append((a, b, "".join(rng.choice("xyz") for _ in range(rng.randint(0, 3)))))
+                at = b
+            new, s2, e2, at = [], [], [], 0
+            for a, b, by in [*edits, (len(tape.text), len(tape.text), "")]:
+                new.append(tape.text[at:a] + by)
+                s2 += starts[at:a] + ([starts[a]] * len(by) if by else [])
+                e2 += ends[at:a] + ([ends[b - 1]] * len(by) if by else [])
+                at = b
+            tape = tape.rewrite(edits)
+            starts, ends = s2, e2
+            assert tape.text == "".join(new)
+            for k in range(len(tape.text)):
+                end = rng.randint(k + 1, len(tape.text))
+                assert tape.source(k, end) == (starts[k], ends[end - 1])
+
+
+def test_many_spans_in_a_long_text():
+    import time
+
+    one = "mail john [at] mail [dot] com or a@b.cd, 10[.]0[.]0[.]7; "
+    began = time.perf_counter()
+    plain, spans = pii.find_spans(one * 20_000)
+    assert len(plain) == 20_000 and len(spans) == 60_000 and time.perf_counter() - began < 60
+
+
+def test_spans_do_not_depend_on_other_text():
+    a, b = "host 192.one six eight.zero.one up", " and mail x [at] y"
+    assert set(pii.find_spans(a)[1]) <= set(pii.find_spans(a + b)[1])
+
+
+def test_query_against_brute_force(spark):
+    if not Path(SF).is_dir():
+        pytest.skip("no test tables here")
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    for r in pii.op3_pii_scan(spark, SF).collect():
+        want, t = brute(texts[r["doc_id"]] or ""), texts[r["doc_id"]] or ""
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in want).encode()).hexdigest()
+        assert [r[f"n_{kind}"] for kind in pii.KINDS] == [sum(s[0] == kind for s in want) for kind in pii.KINDS]
+        assert r["spans"] == pii.join_spans(pii.find_spans(t)[1])
+
+
 def test_redact(spark):
     d = clashing(documents(spark, [(1, "a b@c.de and 1.2.3.4"), (2, None), (3, ""), (1, "x")]))
     got = pii.redact(d)
