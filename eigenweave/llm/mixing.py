@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpoint, word_count
 
 SCALE_BITS = 26
-SALTS = 64
+#: A source's rows of one size class are dealt into so many cells at least, and into so many that a cell has about CELL_ROWS of them.
+LEAST_SALTS, CELL_ROWS = 64, 65_536
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], cap: float) -> list[float]:
@@ -50,8 +51,13 @@ def _size_class(size: Column) -> Column:
     return (bits * 4 + lead).cast("int")
 
 
-def _salt(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 4), 16, 10).cast("int") % SALTS
+def salts(rows: int) -> int:
+    """The least power of two, from LEAST_SALTS, with CELL_ROWS rows or fewer for each."""
+    return max(LEAST_SALTS, 1 << max(0, -(-rows // CELL_ROWS) - 1).bit_length())
+
+
+def _salt(doc_id: Column, n: int) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 7), 16, 10).cast("int") % n
 
 
 def systematic_copies(rows: DataFrame, group: str, units: str, cell: Sequence[str], order: Sequence[str], offset: str) -> DataFrame:
@@ -87,7 +93,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     base = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col))).alias("_skey"), word_count(F.col(text_col)).alias("size")))
-    found = base.groupBy("_skey").agg(F.sum("size").alias("words")).limit(max_sources + 1).collect()
+    found = base.groupBy("_skey").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     found.sort(key=lambda r: (r["_skey"] == "n", r["_skey"]))
@@ -96,7 +102,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     units = [int(t / s * (1 << SCALE_BITS) + 0.5) if s else 0 for t, s in zip(targets, sizes, strict=True)]
     plan = [(r["_skey"], s, t, u, _offset(seed, r["_skey"])) for r, s, t, u in zip(found, sizes, targets, units, strict=True)]
     plan = spark.createDataFrame(plan, "_skey string, source_size long, target double, _units long, _offset long")
-    rows = base.join(F.broadcast(plan), "_skey").withColumn("_class", _size_class(F.col("size"))).withColumn("_salt", _salt(F.col("doc_id")))
+    rows = base.join(F.broadcast(plan), "_skey").withColumn("_class", _size_class(F.col("size"))).withColumn("_salt", _salt(F.col("doc_id"), salts(sum(r["rows"] for r in found))))
     out = systematic_copies(rows, "_skey", "_units", ("_class", "_salt"), ("size", "doc_id"), "_offset")
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -104,15 +110,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of `docs` repeated by its number of copies, same columns.
 
-    Rows are matched by id; where an id is repeated, its rows get copies in a fixed order of all columns' hash.
+    Rows are matched by id and size; where several rows have both, they get copies in a fixed order of all columns' hash.
     """
     id_col = options.get("id_col", "doc_id")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), word_count(F.col(options.get("text_col", "text"))).alias("n"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("h"))
-    left = rows.withColumn("k", F.row_number().over(Window.partitionBy("id", "n").orderBy("h"))).drop("h")
-    m = Window.partitionBy("doc_id", "size").orderBy("copies")
-    right = mix(docs, **options).withColumn("k2", F.row_number().over(m)).select(F.col("doc_id").alias("id2"), F.col("size").alias("n2"), "k2", "copies").where("copies > 0")
-    joined = left.join(right, left["id"].eqNullSafe(right["id2"]) & (left["n"] == right["n2"]) & (left["k"] == right["k2"]))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    found = checkpoint(mix(docs, **options).select(F.col("doc_id").alias("id2"), F.col("size").alias("n2"), "copies"))
+    each = found.groupBy("id2", "n2").agg(F.count("*").alias("alike"), F.max("copies").alias("copies")).where("copies > 0")
+    same = rows["id"].eqNullSafe(each["id2"]) & (rows["n"] == each["n2"])
+    met = rows.join(each, same)
+    once = met.where("alike = 1").select("row", "copies")
+    place = lambda *by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    many = met.where("alike > 1").select("row", "id", "n", "h").withColumn("k", place("id", "n", order="h"))
+    theirs = found.join(each.where("alike > 1").select(F.col("id2").alias("id3"), F.col("n2").alias("n3")), F.col("id2").eqNullSafe(F.col("id3")) & (F.col("n2") == F.col("n3"))).select("id2", "n2", "copies").withColumn("k2", place("id2", "n2", order="copies")).where("copies > 0")
+    often = many.join(theirs, many["id"].eqNullSafe(theirs["id2"]) & (many["n"] == theirs["n2"]) & (many["k"] == theirs["k2"])).select("row", "copies")
+    return once.union(often).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op5_mix_sources(spark, sf_dir):
@@ -136,7 +147,7 @@ plan AS (
          ('0x' || substr(md5('mix-1|' || skey), 1, 6))::BIGINT * {1 << (SCALE_BITS - 24)} AS off FROM tgt),
 docs AS (
   SELECT b.*, p.* EXCLUDE (skey), length(bin(size)) * 4 + (size // (2 ** greatest(length(bin(size)) - 3, 0))::BIGINT) % 4 AS cls,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 4))::BIGINT % {SALTS} AS salt FROM base b JOIN plan p USING (skey)),
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 7))::BIGINT % (SELECT greatest({LEAST_SALTS}, 2 ** ceil(log2(greatest(1, ceil(count(*) / {CELL_ROWS}.0)))))::BIGINT FROM base) AS salt FROM base b JOIN plan p USING (skey)),
 run AS (SELECT *, sum(units) OVER (PARTITION BY skey ORDER BY cls, salt, size, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT + off AS e FROM docs)
 SELECT doc_id, size, source_size, target, ((e >> {SCALE_BITS}) - ((e - units) >> {SCALE_BITS}))::BIGINT * size AS taken,
        ((e >> {SCALE_BITS}) - ((e - units) >> {SCALE_BITS}))::BIGINT AS copies FROM run
