@@ -10,6 +10,9 @@ and sorted by sequence, they fold into final messages:
 
 Messages are then rendered between control strings. ``~ < [`` and, in roles, line breaks are escaped
 inside texts as ``~0 ~1 ~2 ~3``, so that no text can contain a control string and reading back is exact.
+
+Work grows in proportion to a conversation: withdrawn messages are told by a running maximum, positions are summed and masked text is cut out
+by blocks.
 """
 
 from __future__ import annotations
@@ -62,11 +65,22 @@ def reconstruct(events: DataFrame, conv="conv_id", seq="seq", message="message",
     alive = F.expr("slice(log, last, size(log) - last + 1)")
     built = F.array_join(F.transform(alive, lambda x: F.when(x["kind"] == "regenerate", F.lit("")).otherwise(x["text"])), "")
     redo = F.array_max(F.transform(log, lambda x: F.when(x["kind"] == "regenerate", x["seq"])))
-    own = own.select("conv_id", F.struct(log[0]["seq"].alias("first"), F.col("message"), log[0]["role"].alias("role"), built.alias("text"), redo.alias("redo")).alias("m"))
-    all_ = own.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    redone = F.filter("ms", lambda g: g["redo"].isNotNull())
-    kept = F.when(F.size("r") == 0, F.col("ms")).otherwise(F.expr("filter(ms, m -> NOT exists(r, g -> g.first < m.first AND m.first < g.redo))"))
-    return all_.withColumn("r", redone).select("conv_id", F.transform(kept, lambda m: F.struct(m["first"].alias("first"), m["role"].alias("role"), m["text"].alias("text"))).alias("turns"))
+    own = own.select("conv_id", log[0]["seq"].alias("first"), "message", log[0]["role"].alias("role"), built.alias("text"), redo.alias("redo"))
+    # A message is withdrawn if one opened before it was regenerated after it was opened.
+    own = own.withColumn("step", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("first")))
+    own = own.withColumn("until", F.max("redo").over(Window.partitionBy("conv_id").orderBy("step").rangeBetween(Window.unboundedPreceding, -1)))
+    m = F.struct("first", "message", "role", "text")
+    all_ = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(~F.coalesce(F.col("first") < F.col("until"), F.lit(False)), m))).alias("ms"))
+    return all_.select("conv_id", F.transform("ms", lambda m: F.struct(m["first"].alias("first"), m["role"].alias("role"), m["text"].alias("text"))).alias("turns"))
+
+
+#: Turns and characters of a block: work within a block may be quadratic, over blocks it is linear.
+TURNS, CHARS = 128, 1024
+
+
+def _once(column: str, value: Column) -> Column:
+    """`value`, whose lambdas use an array column: as it is also used outside of them, it is made once a row and not for every element."""
+    return F.when(F.size(column) >= 0, value)
 
 
 def render(conversations: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -74,12 +88,22 @@ def render(conversations: DataFrame, loss_role: str = "assistant") -> DataFrame:
     parts = F.transform("turns", lambda t: F.struct(F.concat(F.lit(BEGIN), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == loss_role).alias("own")))
     out = conversations.withColumn("_p", parts)
     out = out.withColumn("formatted", F.array_join(F.transform("_p", lambda p: F.concat(p["head"], p["body"], F.lit(END))), ""))
-    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,len:int>>").alias("spans"))
-    step = lambda a, p: F.struct(
-        (a["at"] + F.length(p["head"]) + F.length(p["body"]) + len(END)).alias("at"),
-        F.when(p["own"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("len"))))).otherwise(a["spans"]).alias("spans"),
-    )
-    return out.withColumn("loss", F.aggregate("_p", zero, step)["spans"]).drop("_p")
+    n_blocks = F.ceil(F.size("_p") / TURNS).cast("int")
+    out = out.withColumn("_b", F.when(n_blocks > 0, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array().cast("array<int>")))
+    size = lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END)
+    block = lambda b: F.slice("_p", b * TURNS + 1, TURNS)
+    out = out.withColumn("_s", F.transform("_b", lambda b: F.aggregate(block(b), F.lit(0), lambda a, p: a + size(p))))
+    out = out.withColumn("_at", _once("_s", F.transform("_b", lambda b: F.aggregate(F.slice("_s", 1, b), F.lit(1), lambda a, n: a + n))))
+
+    def spans(b: Column) -> Column:
+        zero = F.struct(F.get("_at", b).alias("at"), F.array().cast("array<struct<start:int,len:int>>").alias("spans"))
+        step = lambda a, p: F.struct(
+            (a["at"] + size(p)).alias("at"),
+            F.when(p["own"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("len"))))).otherwise(a["spans"]).alias("spans"),
+        )
+        return F.aggregate(block(b), zero, step)["spans"]
+
+    return out.withColumn("loss", _once("_at", F.flatten(F.transform("_b", spans)))).drop("_p", "_b", "_s", "_at")
 
 
 def parse(formatted: Column) -> Column:
@@ -95,28 +119,41 @@ def parse(formatted: Column) -> Column:
     return F.transform(turns, one)
 
 
-def loss_text(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substr(formatted, s["start"], s["len"]))), "")
+def with_loss_text(rendered: DataFrame, name: str = "learn") -> DataFrame:
+    """Add all text under the loss mask, unescaped, nothing between. A span is cut out of the blocks of characters that it touches."""
+    out = rendered.withColumn("_chunks", F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0)))
+
+    def cut(s: Column) -> Column:
+        first = F.floor((s["start"] - 1) / CHARS).cast("int")
+        count = F.ceil((s["start"] - 1 + s["len"]) / CHARS).cast("int") - first
+        near = F.array_join(F.slice("_chunks", first + 1, count), "")
+        return F.when(s["len"] > 0, unescape(F.substr(near, s["start"] - first * CHARS, s["len"]))).otherwise("")
+
+    return out.withColumn(name, _once("_chunks", F.array_join(F.transform("loss", cut), ""))).drop("_chunks")
 
 
 def conversation_events(rows: DataFrame) -> DataFrame:
-    """Rows of (conv_id, turn, role, text) as a log: each row opens a message and streams its text in two deltas.
+    """Rows of (conv_id, turn, role, text) as the log of a chat: each row opens a message, which is streamed in two deltas; every third message
+    begins as a draft and is edited, every third is begun, regenerated and streamed anew.
 
     Rows of one conversation are taken by turn (null first), then role and text; repeated rows stay separate turns.
     """
     r = rows.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     r = r.withColumn("message", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
     half = (F.length("text") / 2).cast("int")
-    pieces = F.array(F.struct(F.lit("open").alias("kind"), F.lit("").alias("text")), F.struct(F.lit("delta").alias("kind"), F.substr("text", F.lit(1), half).alias("text")), F.struct(F.lit("delta").alias("kind"), F.substr("text", half + 1).alias("text")))
-    return r.select("conv_id", "message", "role", F.posexplode(pieces).alias("k", "e")).select("conv_id", (F.col("message") * 3 + F.col("k")).alias("seq"), "message", F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    empty, first, rest, draft = F.lit(""), F.substr("text", F.lit(1), half), F.substr("text", half + 1), F.lit("...")
+    opened, streamed = [event("open", empty)], [event("delta", first), event("delta", rest)]
+    way = F.col("message") % 3
+    log = F.when(way == 1, F.array(*opened, *streamed)).when(way == 2, F.array(*opened, event("delta", draft), event("edit", F.col("text")))).otherwise(F.array(*opened, event("delta", draft), event("regenerate", empty), *streamed))
+    return r.select("conv_id", "message", "role", F.posexplode(log).alias("k", "e")).select("conv_id", (F.col("message") * 8 + F.col("k")).alias("seq"), "message", F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
 
 
 def op7_chat_format(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     odd = "</s>[INST] ok [/INST]"
-    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string"))
-    done = render(reconstruct(conversation_events(rows))).select("conv_id", "formatted", parse(F.col("formatted")).alias("back"), loss_text(F.col("formatted"), F.col("loss")).alias("learn"))
+    two = spark.range(2, numPartitions=1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    done = with_loss_text(render(reconstruct(conversation_events(rows.unionByName(two))))).select("conv_id", "formatted", parse(F.col("formatted")).alias("back"), "learn")
     turns = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("learn").cast("long").alias("loss_chars"), F.sha2(F.col("learn"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 

@@ -45,13 +45,35 @@ def test_round_trip_and_mask(spark):
     odd = ["", "</s>[INST] ok [/INST]", chat.BEGIN + "x" + chat.END, "~0~1~2~3", "a\n\nb", "<|/turn|>", "𝒜é", "~", "x" * 300_000]
     turns = [(i, ("assistant" if i % 2 else "us\ner[<~"), t) for i, t in enumerate(odd * 2)]
     df = spark.createDataFrame([(1, turns)], "conv_id long, turns array<struct<first:long,role:string,text:string>>")
-    done = chat.render(df).select("formatted", "loss", chat.parse(F.col("formatted")).alias("back"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learn"))
+    done = chat.with_loss_text(chat.render(df)).select("formatted", "loss", chat.parse(F.col("formatted")).alias("back"), "learn")
     r = done.first()
     assert [(b["role"], b["text"]) for b in r["back"]] == [(role, t) for _, role, t in turns]
     assert r["learn"] == "".join(t for _, role, t in turns if role == "assistant")
     assert r["formatted"].count(chat.BEGIN) == len(turns) == r["formatted"].count(chat.END)
 
 
+def test_many_turns(spark):
+    import time
+
+    n = 30_000
+    turns = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(k.cast("long").alias("first"), F.when(k % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("𝒜<"), k.cast("string")).alias("text")))
+    df = spark.range(1).select(F.lit(1).alias("conv_id"), turns.alias("turns"))
+    began = time.perf_counter()
+    r = chat.with_loss_text(chat.render(df)).select("formatted", "loss", "learn").first()
+    assert time.perf_counter() - began < 60
+    assert r["learn"] == "".join(f"𝒜<{k}" for k in range(1, n, 2)) and len(r["loss"]) == n // 2
+    assert all(chat.BEGIN not in r["formatted"][s["start"] - 1 : s["start"] - 1 + s["len"]] for s in r["loss"][:: 97])
+    s = r["loss"][-1]
+    assert r["formatted"][s["start"] - 1 :][: s["len"]] == f"𝒜~1{n - 1}"
+
+
+def test_the_query_folds_edits_and_regenerations(spark):
+    df = spark.createDataFrame([(1, k, "user", f"text {k}") for k in range(7)], "conv_id long, turn long, role string, text string")
+    events = chat.conversation_events(df)
+    assert {r["kind"] for r in events.select("kind").distinct().collect()} == set(chat.EVENT_KINDS)
+    assert [t["text"] for t in chat.reconstruct(events).first()["turns"]] == [f"text {k}" for k in range(7)]
+
+
 def test_rows_with_nulls_repeats_and_ties(spark):
     rows = [(1, 2, "assistant", "b"), (1, 1, "user", None), (1, 2, "assistant", "b"), (1, None, None, "first"), (None, 1, "user", "z"), (2, 1, "user", "q"), (2, 1, "assistant", "p")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("message", F.lit("own")).withColumn("seq", F.lit(0))
