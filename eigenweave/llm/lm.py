@@ -19,7 +19,7 @@ and vocabularies are exchanged through a butterfly of group-bys:
 4. one pass over those counts fills a bounded histogram for EM, another scores the texts.
 
 What a task holds is about `part_bytes` of text's worth of words at every step and size of the corpus; cells are batches times ranges
-times steps, and steps grow with the logarithm of the corpus (one up to half a gigabyte, two up to 32 GB, four up to 128 TB).
+times steps, and steps grow with the logarithm of the corpus: one up to 32 GB, two up to 128 TB.
 """
 
 from __future__ import annotations
@@ -39,17 +39,28 @@ _END, _START = U(0x5DEECE66D1234567), U(0x2545F4914F6CDD1D)
 _LEFT, _RIGHT = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 _KEEP = U(0xFFFFFFFFFFFFFF00)  # bigrams: 56 bits
 BATCH_BYTES, PART_BYTES = 16 << 20, 8 << 20
-STEP_BITS = 6
+STEP_BITS = 12
 BUCKETS = 26
 B2, B1 = 4, 4  # histogram bins an octave; a bin keeps the mean of what is in it
 N2, N1 = 34 * B2 + 1, 42 * B1 + 1
 
 
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _zip(data: bytes) -> bytes:
+    return _ZIP.compress(data)
+
+
+def _unzip(data: bytes, size: int) -> bytes:
+    return _UNZIP.decompress(data, max_output_size=max(1, size))
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays as byte planes, compressed."""
     out = []
     for a in arrays:
-        z = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+        z = _zip(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
         out += [np.array([len(a), a.itemsize, len(z)], np.int64).tobytes(), z]
     return b"".join(out)
 
@@ -59,7 +70,7 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     while at < len(blob):
         n, size, length = np.frombuffer(blob, np.int64, 3, at)
         at += 24
-        raw = zstandard.ZstdDecompressor().decompress(blob[at : at + length], max_output_size=max(1, int(n * size)))
+        raw = _unzip(blob[at : at + length], int(n * size))
         at += int(length)
         out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(int(size), int(n)).T).view(f"u{size}").ravel())
     return out
@@ -126,7 +137,7 @@ def _pack_texts(most: int):
         for b in batches:
             for ids, known, held, buf, size in _batches(b, most):
                 name = int(K.mix64(np.array([(task << 32) + n], U)).view(np.int64)[0])
-                text = zstandard.ZstdCompressor(level=1).compress(buf.tobytes())
+                text = _zip(buf.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([_pack(ids, known.astype(np.uint8), held.astype(np.uint8), size)], pa.binary()), pa.array([text], pa.binary())], names=["batch", "rows", "text"])
                 n += 1
 
@@ -136,7 +147,7 @@ def _pack_texts(most: int):
 def _unpack_texts(rows: bytes, text: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     got = _unpack(rows)
     offsets = np.concatenate([[0], np.cumsum(got[3].view(np.int64))]).astype(np.int64)
-    return got, np.frombuffer(zstandard.ZstdDecompressor().decompress(text, max_output_size=max(1, int(offsets[-1]))), np.uint8), offsets
+    return got, np.frombuffer(_unzip(text, int(offsets[-1])), np.uint8), offsets
 
 
 _ASKED = pa.schema([("g", pa.int64()), ("r", pa.int64()), ("child", pa.int64()), ("blob", pa.binary())])

@@ -98,7 +98,7 @@ def test_bigrams_help_on_held_out_text(spark):
 def test_exchange_in_many_steps(spark, rows, scored, part_bytes, step_bits):
     d = documents(spark, rows).repartition(7)
     got = sorted(lm.score(d, batch_bytes=1 << 11, part_bytes=part_bytes, step_bits=step_bits).collect(), key=str)
-    assert len(lm.steps(6, 2)) == 3 and lm.steps(7, 6) == [4, 3] and lm.steps(3) == [3]
+    assert len(lm.steps(6, 2)) == 3 and lm.steps(7, 6) == [4, 3] and lm.steps(12) == [12] and lm.steps(13) == [7, 6]
     want = sorted(scored, key=str)
     key = lambda r: (str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 5))
     assert sorted(map(key, got)) == sorted(map(key, want))
