@@ -12,14 +12,13 @@ from eigenweave.llm.common import ensure_checkpoint_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told go."""
-    return langid.keep_identified(docs, langid.fit_documents(docs))
+    """Documents whose language cannot be told go; of the others those without a label get the language that was found."""
+    return langid.keep_identified(docs, langid.fit_documents(docs), lang_col="lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of least id stays."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of least id stays, one row of it."""
+    return neardup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +42,21 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decont
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each is written to the shared checkpoint folder and read again."""
+    """All stages over `documents`; each is written to the shared checkpoint folder and read again.
+
+    A stage's files are removed once the next one is written; those that the result reads stay.
+    """
     place = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            _remove(spark, f"{place}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
