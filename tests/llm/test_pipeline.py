@@ -3,6 +3,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from .test_neardup import brute
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -33,9 +35,13 @@ def test_decisions(spark, stages):
 
     _, docs, spoken = stages[0]
     assert docs.join(spoken, "doc_id", "left_anti").where(F.col("text").rlike(r"\p{L}{40}")).count() == 0
+    assert spoken.where("lang is null").count() == 0
+    assert spoken.join(docs.where("lang is not null").select("doc_id", F.col("lang").alias("old")), "doc_id").where("lang <> old").count() == 0
     _, before, after = stages[1]
     kept = {r["doc_id"] for r in neardup.near_duplicates(before).where("kept").collect()}
     assert {r["doc_id"] for r in after.collect()} == kept
+    roots = brute([tuple(r) for r in before.select("doc_id", "text").collect()], 5)
+    assert kept == {i for i, (n, root) in roots.items() if root == i}
     _, before, after = stages[2]
     gone = {r["doc_id"] for r in decontam.leaks(before, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()} - gone
@@ -56,6 +62,19 @@ def test_run_equals_the_stages(spark, stages):
     assert sorted(map(tuple, P.run(spark, SF).collect()), key=repr) == sorted(map(tuple, stages[-1][2].collect()), key=repr)
 
 
+def test_files_of_finished_stages_are_removed(spark):
+    import corpus_pipeline as P
+    from eigenweave.llm.common import ensure_checkpoint_dir
+
+    if not Path(SF).is_dir():
+        pytest.skip("no test tables here")
+    root = Path(ensure_checkpoint_dir(spark).removeprefix("file://").removeprefix("file:"))
+    before = set(root.glob("pipeline-*"))
+    P.run(spark, SF)
+    (place,) = set(root.glob("pipeline-*")) - before
+    assert {x.name for x in place.iterdir() if not x.name.startswith(".")} == {"3"}
+
+
 def test_odd_rows_and_extra_columns(spark, tmp_path):
     import corpus_pipeline as P
 
@@ -71,4 +90,6 @@ def test_odd_rows_and_extra_columns(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         assert f(spark, docs.limit(0), SF).count() == 0
         docs = spark.read.parquet(str(tmp_path / name))
+        if name == "near_duplicates":
+            assert [r["doc_id"] for r in docs.where("doc_id = 3").collect()] == [3]
     assert docs.count() > 0
