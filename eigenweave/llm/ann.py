@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, hot_rows, lookup
 
 BOOKS, WORDS, BEAM, SAMPLE, SEED = 20, 256, 4, 16384, 5
+#: Times the books are refitted in turn.
+SWEEPS = 4
 #: Bytes of vectors in a block, and ids of copies that meet in one group.
 BLOCK_BYTES, MOST_COPIES = 16 << 20, 65_536
 
@@ -82,16 +84,16 @@ class AdditiveQuantiser:
             residual = residual - centre[near]
             out.append(centre)
         q = cls(np.stack(out))
-        for _ in range(rounds):  # all books at once, given the codes: regularised normal equations
-            codes = np.concatenate([q.encode(x[i : i + 1024]) for i in range(0, len(x), 1024)]).astype(np.int64) + np.arange(books) * words
-            gram, rhs = np.zeros((books * words, books * words), np.float32), np.zeros((books * words, x.shape[1]), np.float32)
-            for a in range(books):
-                np.add.at(rhs, codes[:, a], x)
-                for b in range(books):
-                    np.add.at(gram, (codes[:, a], codes[:, b]), np.float32(1))
-            gram[np.diag_indices_from(gram)] += 1.0
-            rhs += q.books.reshape(-1, x.shape[1])
-            q = cls(np.linalg.solve(gram, rhs).reshape(books, words, -1).astype(np.float32))
+        for _ in range(rounds):  # codes by beam search, then the books in turn: least squares given the others, held near what they were
+            codes = np.concatenate([q.encode(x[i : i + 1024]) for i in range(0, len(x), 1024)])
+            residual = x - q.decode(codes)
+            for b in np.tile(np.arange(books), SWEEPS):
+                own, code = q.books[b], codes[:, b].astype(np.int64)
+                total = own.copy()
+                np.add.at(total, code, residual + own[code])
+                new = total / (1 + np.bincount(code, minlength=words))[:, None].astype(np.float32)
+                residual += own[code] - new[code]
+                q.books[b] = new
         return q
 
 
