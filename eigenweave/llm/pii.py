@@ -83,7 +83,20 @@ _DIGITS |= {"zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "
 _DIGITS |= {"cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9"}
 #: A digit said after one of these counts so often.
 _TIMES = {"double": 2, "doppel": 2, "doble": 2, "triple": 3, "dreimal": 3}
-_NAME = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
+
+
+def _trie(words: list[str]) -> str:
+    """A regular expression for the words, the longest first, that reads shared beginnings once."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(words):
+        heads.setdefault(w[:1], []).append(w[1:])
+    end = heads.pop("", None)
+    return "(?:" + "|".join(re.escape(h) + _trie(rest) for h, rest in heads.items()) + ")" + ("?" if end else "") if heads else ""
+
+
+_NAME = _trie(list(_DIGITS))
+#: Searched for in lower-cased text before anything that needs the name of a digit.
+_ANY_NAME = re.compile(rf"\b{_NAME}\b")
 _SAID = rf"(?:(?:{'|'.join(_TIMES)})[\s-]{{1,2}}(?:{_NAME}|[0-9])|{_NAME})"
 _GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]")
 #: References to printable ASCII characters.
@@ -109,7 +122,8 @@ _HINT = re.compile(rf"[\[({{<]\x20{{0,3}}(?:{_AT}|{_DOT_WORD}|@|\.)\x20{{0,3}}[\
 #: Four numbers with disguised dots between them, or with some of their digits spelled.
 _NUMBER = rf"(?:[0-9]{{1,3}}|{_SAID}(?:\x20{_SAID}){{0,2}})"
 _DOTTED = re.compile(rf"(?<![\w.]){_NUMBER}(?:(?:\.|{_DOT}){_NUMBER}){{3}}(?!\w)", re.IGNORECASE)
-_DOTTED_HINT = re.compile(rf"[0-9]{_DOT}[0-9]|\b{_NAME}(?:\.|{_DOT})|(?:\.|{_DOT}){_NAME}\b", re.IGNORECASE)
+_DISGUISED_DOT = re.compile(rf"[0-9]{_DOT}[0-9]", re.IGNORECASE)
+_NAMED_DOT = re.compile(rf"\b{_NAME}(?:\.|{_DOT})|(?:\.|{_DOT}){_NAME}\b", re.IGNORECASE)
 #: Digits, at least `LEAST_SPELLED` of them spelled.
 _SPELLED = re.compile(rf"(?:\bplus[\s,.-]{{1,3}}|\+)?\b(?:{_SAID}|[0-9]{{1,6}})\b(?:[\s,.()-]{{1,3}}(?:{_SAID}|[0-9]{{1,6}})\b){{3,}}", re.IGNORECASE)
 _SPELLED_WORD = re.compile(r"[^\W\d_]+|[0-9]+")
@@ -245,11 +259,22 @@ def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _names_digits(text: str) -> bool:
+    return _ANY_NAME.search(text.lower()) is not None
+
+
+#: Transducers in order, each with a cheap test of whether it can find anything.
+_TRANSDUCERS = (
+    (lambda t: not t.isascii(), _glyph_edits), (lambda t: "&" in t, _reference_edits), (lambda t: "@ " in t, _spaced_edits), (_HINT.search, _mail_edits),
+    (lambda t: _DISGUISED_DOT.search(t) or _names_digits(t) and _NAMED_DOT.search(t), _dotted_edits), (lambda t: _names_digits(t) and _SPELLED_HINT.search(t), _digit_edits),
+)
+
+
 def disguised_spans(text: str) -> list[Span]:
     """Spans in the source of identifiers that only the normalised text shows."""
     tape, spelled, changed = Tape(text), [], False
-    for hint, edits_of in ((not text.isascii(), _glyph_edits), ("&" in text, _reference_edits), ("@ " in text or "&" in text or not text.isascii(), _spaced_edits), (_HINT, _mail_edits), (_DOTTED_HINT, _dotted_edits), (_SPELLED_HINT, _digit_edits)):
-        if (hint if isinstance(hint, bool) else hint.search(tape.text)) and (edits := edits_of(tape.text)):
+    for likely, edits_of in _TRANSDUCERS:
+        if likely(tape.text) and (edits := edits_of(tape.text)):
             if edits_of is _digit_edits:
                 for a, b, by in edits:
                     digits = by.lstrip("+")
