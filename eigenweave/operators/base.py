@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import inspect
 from collections.abc import Callable
 
 import numpy as np
@@ -52,10 +53,13 @@ def by_pair(spark: SparkSession, m: np.ndarray) -> DataFrame:
 class Model:
     """Parameters in `params`, driver results in `data`.
 
-    With `compute=False` a fit is only prepared; the first accessor, or `compute()`, runs it.
+    With `compute=False` a fit is only prepared; the first accessor, or `compute()`, runs it. Parameters that no class of the model has are an error.
     """
 
     def __init__(self, **params):
+        known = {n for c in type(self).__mro__ if "__init__" in vars(c) for n in inspect.signature(c.__init__).parameters}
+        if odd := sorted(set(params) - known):
+            raise TypeError(f"{type(self).__name__} has no parameter {', '.join(odd)}")
         self.params = params
         self.data = Results()
         self.attrs = {"model": type(self).__name__, "version": VERSION, "date": datetime.datetime.now().isoformat(timespec="seconds")}
@@ -157,9 +161,10 @@ class SingleSet(Model):
         return self._run(work)
 
     def unpersist(self):
-        """Let go of the cached matrix."""
-        if self.input is not None:
-            self.input.df.unpersist()
+        """Let go of the cached matrix and of cached results."""
+        for df in (self.input and self.input.df, getattr(self, "_result", None)):
+            if df is not None:
+                df.unpersist()
         return self
 
     def fit_transform(self, X, dim, weights=None, **kwargs):  # noqa: N803

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import signs
-from ..plans.matrix import MOST_GRAM, RowMatrix, X, block, tasks, tree
+from ..plans.matrix import MOST_GRAM, RowMatrix, X, block, tasks, to_matrix, tree
 from ..plans.order import SID, indexed
 from .base import Model, small
 from .single import EOF
@@ -131,9 +131,39 @@ class EOFBootstrapper(Model):
         data = self._ready()
         reps, p, k = data["components"].shape
         v = data["components"] / (data["norms"] if normalized else 1)
-        flat = self.model.input.times(np.moveaxis(v, 0, 1).reshape(p, reps * k)).long("__k")
+        return self._by_replicate(self.model.input.times(np.moveaxis(v, 0, 1).reshape(p, reps * k)), k)
+
+    def fit_transform(self, model: EOF, x, normalized: bool = False) -> DataFrame:
+        """Fit to a model and project data on every replicate."""
+        return self.fit(model).transform(x, normalized)
+
+    def transform(self, x, normalized: bool = False) -> DataFrame:
+        """Scores of further samples on every replicate: sample dims, n, mode, value."""
+        data = self._ready()
+        reps, p, k = data["components"].shape
+        v = data["components"] / (data["norms"] if normalized else 1)
+        return self._by_replicate(self.model.preprocessor.transform(x).times(np.moveaxis(v, 0, 1).reshape(p, reps * k)), k)
+
+    def inverse_transform(self, scores: DataFrame, normalized: bool = False):
+        """Data from the scores of every replicate (sample dims, n, mode, value): a table with the further dim n, or one a field."""
+        data, keys = self._ready(), self.model.preprocessor.sample_dims
+        reps, p, k = data["components"].shape
+        v = data["components"] * (data["norms"] if normalized else 1)
+        placed = scores.select(*keys, ((F.col("n") - 1) * k + F.col("mode")).cast("int").alias("mode"), "value")
+        m = to_matrix(placed, keys, "mode", reps * k, False)
+        out = []
+        for r in range(reps):
+            only = np.zeros((reps * k, p))
+            only[r * k : (r + 1) * k] = v[r].T
+            got = self.model.preprocessor.data(m.times(only))
+            fields = got if isinstance(got, list) else [got]
+            fields = [f.withColumn("n", F.lit(r + 1)) for f in fields]
+            out = fields if not out else [a.unionByName(b) for a, b in zip(out, fields, strict=True)]
+        return out if isinstance(got, list) else out[0]
+
+    def _by_replicate(self, m: RowMatrix, k: int) -> DataFrame:
         number = F.col("__k") - 1
-        return flat.select(*self.model.preprocessor.sample_dims, (F.floor(number / k) + 1).cast("int").alias("n"), (number % k + 1).cast("int").alias("mode"), "value")
+        return m.long("__k").select(*self.model.preprocessor.sample_dims, (F.floor(number / k) + 1).cast("int").alias("n"), (number % k + 1).cast("int").alias("mode"), "value")
 
     def _parts(self, save_data: bool) -> dict:
         return {"model": self.model.serialize(save_data)}

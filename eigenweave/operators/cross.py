@@ -53,6 +53,7 @@ class Side:
         self.t: np.ndarray | None = None
         self.t_inv: np.ndarray | None = None
         self.reduced: RowMatrix | None = None
+        self.full: RowMatrix | None = None
 
     def state(self, save: bool) -> dict:
         return {"preprocessor": self.preprocessor.state(), "basis": self.basis, "t": self.t, "t_inv": self.t_inv, "reduced": matrix_state(self.reduced, save)}
@@ -97,6 +98,10 @@ class CPCCA(Model):
                 self.spark = side.preprocessor.spark
                 self._reduce(side, m, i)
             self._fit()
+            for side in self.sides:  # the reduced components are cached by now
+                if side.full is not None:
+                    side.full.df.unpersist()
+                    side.full = None
 
         return self._run(work)
 
@@ -105,7 +110,8 @@ class CPCCA(Model):
         if self._complex and not m.is_complex and type(self).__name__.startswith("Complex"):
             warnings.warn("the data are real: the models without Complex in their names are meant for these", stacklevel=2)
         if p["use_pca"][i]:
-            side.basis = decompose(m.persist(), p["n_pca_modes"][i], p["pca_init_rank_reduction"][i], p["solver"], p["random_state"], **p["solver_kwargs"]).v
+            side.full = m.persist()
+            side.basis = decompose(side.full, p["n_pca_modes"][i], p["pca_init_rank_reduction"][i], p["solver"], p["random_state"], **p["solver_kwargs"]).v
             reduced = m.times(side.basis)
         else:
             if m.p > MOST_GRAM:
@@ -168,6 +174,13 @@ class CPCCA(Model):
         size = [np.sqrt(np.real(np.einsum("ik,ij,jk->k", w.conj(), g, w))) for w, g in zip((w1, w2), grams, strict=True)]
         self.data.update(weights1=w1, weights2=w2, norm1=size[0] if norms is None else norms[0], norm2=size[1] if norms is None else norms[1])
 
+    def unpersist(self):
+        """Let go of the cached components of both sets."""
+        for side in self.sides:
+            if side.reduced is not None:
+                side.reduced.df.unpersist()
+        return self
+
     # -- scores and data ----------------------------------------------------------------------------------------------
     def _score_matrices(self, normalized: bool = False) -> list[RowMatrix]:
         data = self._ready()

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.geo import CARTESIAN_X, CARTESIAN_Y, EARTH_KM, KERNELS, LATITUDES, LONGITUDES, METRICS, bounding_halfwidth, distances_np, kernel_weight_np
+from ..plans.lineage import checkpoint
 from ..plans.matrix import RowMatrix, X, block
 from ..plans.order import SID, indexed
 from .base import SingleSet
 
 BLOCK = 512
+#: Bytes of the products of features that a block's rows hold: with many features blocks have fewer rows.
+BLOCK_BYTES = 64 << 20
 
 
 class GWPCA(SingleSet):
@@ -58,19 +61,19 @@ class GWPCA(SingleSet):
         x, y = self._coords(m.keys)
         placed = indexed(m.rows(), m.keys).withColumns({"__px": F.col(x).cast("double"), "__py": F.col(y).cast("double")})
         n = placed.count()
-        placed = self._blocks(placed, n).persist()
+        placed = self._blocks(placed, m.p).persist()
         self._result = self._local(placed, m.p).persist()
         self._keys = placed.select(SID, *m.keys)
         self.data.update(n_samples=n)
 
-    def _blocks(self, placed: DataFrame, n: int) -> DataFrame:
+    def _blocks(self, placed: DataFrame, features: int) -> DataFrame:
         """Add a block number `_b`, the same for rows that are near one another."""
-        p = self.params
+        p, rows = self.params, max(1, min(BLOCK, BLOCK_BYTES // (8 * features**2)))
         if p["kernel"] != "bisquare":
-            return placed.withColumn("__b", F.floor(F.col(SID) / BLOCK).cast("long"))
+            return placed.withColumn("__b", F.floor(F.col(SID) / rows).cast("long"))
         size = self._cell_size()
         cell = placed.withColumn("__c", F.xxhash64(F.floor(F.col("__px") / size), F.floor(F.col("__py") / size)))
-        crowd = cell.groupBy("__c").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("__parts"))
+        crowd = cell.groupBy("__c").agg((F.floor((F.count("*") - 1) / rows) + 1).alias("__parts"))
         return cell.join(crowd, "__c").withColumn("__b", F.xxhash64("__c", F.pmod(F.xxhash64(SID), F.col("__parts")))).drop("__c", "__parts")
 
     def _cell_size(self) -> float:
@@ -115,7 +118,7 @@ class GWPCA(SingleSet):
             return pa.table({"__b": pa.array([key[0].as_py()], pa.int64()), "ids": [t.column(SID).to_numpy().tobytes()], "xy": [xy.tobytes()], "v": [np.ascontiguousarray(block(b, p, False)).tobytes()], "x0": [xy[:, 0].min()], "x1": [xy[:, 0].max()], "y0": [xy[:, 1].min()], "y1": [xy[:, 1].max()]})
 
         kinds = "__b long, ids binary, xy binary, v binary, x0 double, x1 double, y0 double, y1 double"
-        packed = placed.groupBy("__b").applyInArrow(pack, kinds).persist()
+        packed = checkpoint(placed.groupBy("__b").applyInArrow(pack, kinds))
         other = packed.select("__b", F.col("xy").alias("bxy"), F.col("v").alias("bv"))
         met = self._pairs(packed).join(other, "__b").drop("__b").join(packed.select(F.col("__b").alias("a__b"), "xy"), "a__b")
 

@@ -56,7 +56,10 @@ def slices(batches, most: int = ROWS):
 def tasks(df: DataFrame) -> int:
     """How many tasks will compute df, as far as its plan tells: the partitions it ends in, else those its size makes."""
     plan = df._jdf.queryExecution()
-    known = plan.executedPlan().outputPartitioning().numPartitions()
+    physical = plan.executedPlan()
+    if physical.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        physical = physical.initialPlan()
+    known = physical.outputPartitioning().numPartitions()
     if known:
         return min(known, MOST_TASKS)
     per = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())

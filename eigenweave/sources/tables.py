@@ -28,6 +28,6 @@ def from_arrays(df: DataFrame, sample_dims: Sequence[str], array: str, feature_d
 
 
 def from_events(df: DataFrame, sample: dict[str, object], feature: dict[str, object], value) -> Field:
-    """Events summed to cells: `sample` and `feature` name expressions; absent cells are 0 where the sample has any event."""
+    """Events summed to cells: `sample` and `feature` name expressions; a cell without an event is absent, that is missing."""
     cells = df.groupBy(*[e.alias(k) for k, e in {**sample, **feature}.items()]).agg(F.sum(value).alias(VALUE))
     return Field.of(cells, (*sample, *feature), (VALUE,))

@@ -64,3 +64,69 @@ def test_factory_and_complex_rotators(spark):
     assert isinstance(O.RotatorFactory().create_rotator(O.MCA()), O.MCARotator)
     with pytest.raises(TypeError):
         O.RotatorFactory().create_rotator(O.OPA(1, 1))
+
+
+def simplicity(loadings):
+    """What varimax maximises, for rows of unit length."""
+    u = np.abs(loadings / np.linalg.norm(loadings, axis=1, keepdims=True)) ** 2
+    return (u**2).sum() - (u.sum(axis=0) ** 2).sum() / len(u)
+
+
+def complex_table(spark, m, name):
+    return spark.createDataFrame([(i, j, float(v.real), float(v.imag)) for (i, j), v in np.ndenumerate(m)], f"t long, {name} long, re double, im double")
+
+
+def unitary(theta, phi):
+    return np.array([[np.cos(theta), -np.sin(theta) * np.exp(1j * phi)], [np.sin(theta) * np.exp(-1j * phi), np.cos(theta)]])
+
+
+GRID = [unitary(t, f) for t in np.linspace(0, np.pi / 2, 60) for f in np.linspace(0, 2 * np.pi, 60)]
+
+
+def test_complex_eof_rotator_against_all_turns(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 6)) + 1j * rng.normal(size=(40, 6))
+    x[:, :3] += 2 * (rng.normal(size=40) + 1j * rng.normal(size=40))[:, None]
+    base = O.ComplexEOF(2).fit(complex_table(spark, x, "f"), "t")
+    m = O.ComplexEOFRotator(2).fit(base)
+    assert type(O.RotatorFactory(n_modes=2).create_rotator(base)) is O.ComplexEOFRotator
+    start = base.data["components"] * np.sqrt(base.data["explained_variance"])
+    turned = m.data["components"] * np.sqrt(m.data["explained_variance"])
+    assert np.allclose(turned @ turned.conj().T, start @ start.conj().T)
+    assert simplicity(turned) >= max(simplicity(start @ u) for u in GRID) - 1e-9
+    assert np.allclose(pivot(m.transform(complex_table(spark, x, "f")), ["t"], value="complex"), pivot(m.scores(), ["t"], value="complex"))
+
+
+@pytest.mark.parametrize("model, rotator", [(O.ComplexMCA, O.ComplexMCARotator), (O.ComplexCPCCA, O.ComplexCPCCARotator)])
+def test_complex_rotators_of_two_fields_against_all_turns(spark, model, rotator):
+    rng = np.random.default_rng(5)
+    x, y = (rng.normal(size=(60, p)) + 1j * rng.normal(size=(60, p)) for p in (3, 4))
+    y[:, :2] += 2 * x[:, :2]
+    base = model(2, use_pca=False).fit(complex_table(spark, x, "f"), complex_table(spark, y, "g"), "t")
+    m = rotator(2).fit(base)
+    assert type(O.RotatorFactory(n_modes=2).create_rotator(base)) is rotator
+    root = np.sqrt(base.data["singular_values"])
+    start = np.concatenate([s.physical(base.data[f"components{k}"]) * root for k, s in enumerate(base.sides, 1)])
+    turned = start @ m.data["rotation_matrix"]
+    assert simplicity(turned) >= max(simplicity(start @ u) for u in GRID) - 1e-9
+    squared = []
+    for k in range(2):
+        back = [s.t.conj().T @ s.basis.conj().T @ part[:, k] for s, part in zip(base.sides, (turned[:3], turned[3:]), strict=True)]
+        squared.append((np.linalg.norm(back[0]) * np.linalg.norm(back[1])) ** 2)
+    assert np.allclose(values(m.squared_covariance()), sorted(squared, reverse=True))
+
+
+@pytest.mark.parametrize("model, rotator", [(O.HilbertMCA, O.HilbertMCARotator), (O.HilbertCPCCA, O.HilbertCPCCARotator), (O.HilbertEOF, O.HilbertEOFRotator)])
+def test_hilbert_rotators(spark, model, rotator):
+    a, b = long(spark, grid()).cache(), long(spark, grid(3)).cache()
+    data = (a,) if model is O.HilbertEOF else (a, b)
+    base = model(2).fit(*data, "time")
+    m = O.RotatorFactory(n_modes=2).create_rotator(base).fit(base)
+    assert type(m) is rotator
+    if model is O.HilbertEOF:
+        start = base.data["components"] * np.sqrt(base.data["explained_variance"])
+    else:
+        start = np.concatenate([s.physical(base.data[f"components{k}"]) for k, s in enumerate(base.sides, 1)]) * np.sqrt(base.data["singular_values"])
+    assert simplicity(start @ m.data["rotation_matrix"]) >= max(simplicity(start @ u) for u in GRID) - 1e-9
+    with pytest.raises(NotImplementedError):
+        m.transform(*data)
