@@ -42,9 +42,9 @@ class ExtendedEOF(EOF):
 
     @staticmethod
     def _all_samples(wide: RowMatrix, m: RowMatrix) -> RowMatrix:
-        joined = m.df.select(*m.keys).alias("a").join(wide.df.alias("b"), [m.df[k].eqNullSafe(wide.df[k]) for k in m.keys], "left")
-        rest = [c for c in wide.df.columns if c not in m.keys]
-        return RowMatrix(joined.select(*[f"a.{k}" for k in m.keys], *[f"b.{c}" for c in rest]), m.keys, wide.p, wide.is_complex)
+        """The embedded rows and, without data, those that had none before."""
+        rest = m.df.where(F.col(X).isNull()).select(*m.keys, *[F.lit(None).cast(wide.df.schema[c].dataType).alias(c) for c in wide.df.columns if c not in m.keys])
+        return RowMatrix(wide.df.unionByName(rest), m.keys, wide.p, wide.is_complex)
 
     def _own_scores(self) -> RowMatrix:
         if getattr(self, "_embedded", None) is None:

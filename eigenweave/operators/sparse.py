@@ -15,7 +15,7 @@ class SparsePCA(SingleSet):
     """Sparse patterns B and orthonormal A with X near X B A'.
 
     The loop needs only the right singular vectors and singular values of X, so it runs on the driver after one (Gram) or a few
-    (sketch) passes. The robust form estimates a sparse error matrix too; it works on the compressed matrix of the leading modes.
+    (sketch, whose columns can be dealt to `n_blocks` passes) passes. The robust form estimates a sparse error matrix too; it works on the compressed matrix of the leading modes.
     """
 
     def __init__(self, n_modes=2, alpha=1e-3, beta=1e-3, robust=False, regularizer="l1", max_iter=500, tol=1e-6, oversample=10, n_subspace=1, n_blocks=1, gamma=0.1, **params):
@@ -33,7 +33,7 @@ class SparsePCA(SingleSet):
         rank = min(n, m.p)
         k = rank if p["n_modes"] == "all" else int(p["n_modes"])
         keep = rank if p["solver"] == "full" or m.p <= 4096 and p["solver"] == "auto" else min(rank, k + p["oversample"])
-        d = decompose(m, keep, solver="randomized" if p["solver"] == "randomized" else "auto", random_state=p["random_state"], power=max(1, p["n_subspace"]) + 3)
+        d = decompose(m, keep, solver="randomized" if p["solver"] == "randomized" else "auto", random_state=p["random_state"], power=max(1, p["n_subspace"]) + 3, blocks=p["n_blocks"])
         if p["robust"]:
             keep = min(keep, k + p["oversample"])
             b, a, s = robust_loadings((d.v[:, :keep] * d.s[:keep]).T, k, p["alpha"], p["beta"], p["gamma"], p["max_iter"], p["tol"])

@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.hilbert import hilbert
 from .matrix import XI, RowMatrix, X, arrays, block, slices, tasks, total, tree
@@ -51,18 +50,16 @@ def analytic_rows(m: RowMatrix, padding: str | None = "exp", decay: float = 0.2)
         cuts = np.split(y, np.cumsum([len(v) for v in pieces])[:-1])
         return pa.table({"_f": t.column("_f"), "__b": t.column("__b"), "v": pa.array([c.tobytes() for c in cuts], pa.binary())})
 
-    out_schema = StructType([StructField(SID, placed.schema[SID].dataType), StructField(X, ArrayType(DoubleType())), StructField(XI, ArrayType(DoubleType()))])
-
-    def restore(t):
-        t = t.sort_by("_f")
-        y = np.stack([np.frombuffer(v.as_py(), complex) for v in t.column("v")], axis=1)
-        first = t.column("__b")[0].as_py() * _SPAN
-        return pa.table([pa.array(np.arange(first, first + len(y))), *arrays(y, True)], names=[SID, X, XI])
+    def restore(left, right):
+        left, right = left.sort_by(SID), right.sort_by("_f")
+        y = np.stack([np.frombuffer(v.as_py(), complex) for v in right.column("v")], axis=1)
+        return pa.table([*[left.column(k) for k in keys], *arrays(y, True)], names=[*keys, X, XI])
 
     pieces = spans.select("__b", SID, X).groupBy("__b").applyInArrow(transpose, "_f int, __b long, v binary")
     series = pieces.groupBy("_f").applyInArrow(transform, "_f int, __b long, v binary")
-    rows = series.groupBy("__b").applyInArrow(restore, out_schema)
-    return RowMatrix(placed.select(SID, *keys).join(rows, SID).select(*keys, X, XI), keys, p, True)
+    out = RowMatrix(spans, keys, p, True)
+    out.df = spans.select("__b", SID, *keys).groupBy("__b").cogroup(series.groupBy("__b")).applyInArrow(restore, out.schema())
+    return out
 
 
 def lagged_products(m: RowMatrix, lags: Sequence[int]) -> dict[int, tuple[int, np.ndarray]]:
@@ -125,14 +122,20 @@ def embed(m: RowMatrix, copies: int, tau: int) -> RowMatrix:
 
 
 def shifted(m: RowMatrix, by: np.ndarray) -> RowMatrix:
-    """Every row less `by`."""
+    """Every row less `by`; rows that take no part stay so."""
     p, is_complex, keys = m.p, m.is_complex, m.keys
+    parts = [X, *([XI] if is_complex else [])]
 
     def run(batches):
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keys], *arrays(block(b, p, is_complex) - by, is_complex)], names=[*keys, X, *([XI] if is_complex else [])])
-
-    return RowMatrix(m.rows().mapInArrow(run, m.schema()), keys, p, is_complex)
+            known = b.column(b.schema.get_field_index(X)).is_valid()
+            cols = arrays(block(b.filter(known), p, is_complex) - by, is_complex)
+            if known.false_count:
+                known = known.to_numpy(zero_copy_only=False)
+                cols = [c.take(pa.array(np.cumsum(known) - 1, pa.int64(), mask=~known)) for c in cols]
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keys], *cols], names=[*keys, *parts])
+
+    return RowMatrix(m.df.select(*keys, *parts).mapInArrow(run, m.schema()), keys, p, is_complex)
 
 
 def means(m: RowMatrix) -> tuple[int, np.ndarray]:

@@ -41,11 +41,12 @@ def check_modes(n_modes) -> None:
         raise ValueError("a fraction of variance lies in (0, 1]")
 
 
-def decompose(x: RowMatrix, n_modes=2, init_rank_reduction: float = 0.3, solver: str = "auto", random_state: int | None = None, power: int = 4, oversample: int = 10, flip_signs: bool = True) -> SVD:
+def decompose(x: RowMatrix, n_modes=2, init_rank_reduction: float = 0.3, solver: str = "auto", random_state: int | None = None, power: int = 4, oversample: int = 10, flip_signs: bool = True, blocks: int = 1) -> SVD:
     """The leading modes: a number of them, all, or as many as explain a fraction of the variance.
 
     `solver`: "full" sums the Gram matrix, "randomized" sketches, "auto" chooses by width. For a fraction of
-    variance a sketch computes `init_rank_reduction` of the rank at first.
+    variance a sketch computes `init_rank_reduction` of the rank at first. With `blocks` its columns are multiplied in so many passes
+    instead of one, each with as much less for a task to hold.
     """
     check_modes(n_modes)
     if solver not in ("auto", "full", "randomized"):
@@ -65,7 +66,7 @@ def decompose(x: RowMatrix, n_modes=2, init_rank_reduction: float = 0.3, solver:
         rng = np.random.default_rng(0 if random_state is None else random_state)
         q = rng.standard_normal((p, width)) + (1j * rng.standard_normal((p, width)) if x.is_complex else 0)
         for _ in range(1 + power):
-            q, _ = np.linalg.qr(x.back_and_forth(q))
+            q, _ = np.linalg.qr(np.concatenate([x.back_and_forth(part) for part in np.array_split(q, max(1, min(blocks, width)), axis=1)], axis=1))
         n, small, square = x.small_gram(q)
         values, w = np.linalg.eigh((small + small.conj().T) / 2)
         values, v = np.maximum(values[::-1], 0), q @ w[:, ::-1]

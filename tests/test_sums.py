@@ -63,3 +63,10 @@ def test_bootstrap_projects_and_rebuilds(spark):
         v = m.data["components"][n - 1]
         c = want - want.mean(0)
         assert np.allclose(pivot(back.where(F.col("n") == n), ["time"], ["lat", "lon"]), c @ v @ v.T + want.mean(0))
+
+
+def test_a_sketch_in_blocks_is_the_same(spark):
+    x = np.random.default_rng(1).normal(size=(60, 8)) @ np.diag([9, 7, 5, 3, 1, 1, 1, 1])
+    df = table(spark, x).cache()
+    a, b = (O.SparsePCA(2, alpha=1e-4, solver="randomized", n_blocks=n).fit(df, "time") for n in (1, 3))
+    assert np.allclose(a.data["components"], b.data["components"], atol=1e-6)
