@@ -23,6 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,11 +212,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
-    sketch = checkpoint(d.mapInArrow(_signatures(width), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
+    # Read three times, then let go: kept on the executors' disks, and made again where one is lost.
+    sketch = d.mapInArrow(_signatures(width), "doc_id long, n_shingles long, k1 long, k2 long, sig binary").persist(StorageLevel.DISK_ONLY)
     n = sketch.count()
     full = sketch.where("doc_id is not null and n_shingles > 0")
     # equal sets have equal signatures: any row's will do
-    classes = checkpoint(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("rows")), n, 5_000)
+    classes = checkpoint(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("rows")), n, 20_000)
     in_class = lookup(full.select("doc_id", "n_shingles", "k1", "k2"), classes.select("k1", "k2", "rep", "rows"), ["k1", "k2"], "rows", hot_rows(n))
     alone = sketch.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))
     known = checkpoint(in_class.select("doc_id", "n_shingles", "rep").union(alone), n)
@@ -225,6 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = not shared.isEmpty()
     texts_of_one = shared.where("b < most").select("doc_id", "b").join(known, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
     reps = classes.select("rep", F.col("k1").alias("key"), "sig")
+    sketch.unpersist()
     del sketch, full, in_class, alone, ids
     release(spark)
 
@@ -238,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = nodes.select(F.col("node").alias("rep"), "key", F.col("root").alias("around"), "sig", "text")
     if repeated:
         nodes = nodes.withColumn("same", F.xxhash64("text")).dropDuplicates(["rep", "key", "same"]).drop("same")
-    nodes = checkpoint(nodes, n, 5_000)
+    nodes = checkpoint(nodes, n, 10_000)
     del around, reps
     release(spark)
 
