@@ -201,17 +201,23 @@ def eof_inverse_transform(spark, sf_dir):
     return rounded(m.inverse_transform(m.scores(normalized=True), normalized=True), 4)
 
 
-@query("eof_multivariate", """WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type AS kind, sum(value) AS s, count(*)::DOUBLE AS c FROM events GROUP BY ALL),
-v AS (SELECT kind, var_samp(s) AS s, var_samp(c) AS c FROM d GROUP BY kind) SELECT round(sum(s) + sum(c), 4) AS total FROM v""")
+def _variances(cells: str, p: int, modes: int, dual: bool = False) -> str:
+    """All eigenvalues of the covariance of centred cells (r, f, x); `dual`: of the samples' products, which has the same ones."""
+    left = "(SELECT f AS r, r AS f, x FROM cells)" if dual else "cells"
+    return ",\n".join([cells, "n AS (SELECT count(DISTINCT r) AS n FROM cells)", M.products("gram", left, left), f"cov AS (SELECT {M.times('m', '1.0::DOUBLE / (n - 1)')} AS m FROM gram, n)", M.eigen("eig", "cov", "m", p)]) + f" SELECT mode, round(l[mode], 3) AS value FROM eig, (SELECT unnest(range(1, {modes + 1}))::INT AS mode)"
+
+
+@query("eof_multivariate", "WITH RECURSIVE " + _variances("""d AS (SELECT CAST(ts AS DATE) AS day, event_type AS kind, sum(value) AS s, count(*)::DOUBLE AS c FROM events GROUP BY ALL),
+u AS (SELECT day::VARCHAR AS r, kind || '-s' AS f, s AS x FROM d UNION ALL SELECT day::VARCHAR, kind || '-c', c FROM d), cells AS (SELECT r, f, x - avg(x) OVER (PARTITION BY f) AS x FROM u)""", 10, 10))
 def eof_multivariate(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("kind")).agg(F.sum("value").alias("total"), F.count("*").cast("double").alias("number"))
     m = O.EOF("all").fit(Field.of(e, ("day", "kind"), ("total", "number")), "day")
-    return rounded(m.explained_variance().agg(F.sum("value").alias("total")), 4, "total")
+    return rounded(m.explained_variance(), 3)
 
 
-@query("eof_tmode", f"WITH {DAYS}, c AS (SELECT kind, day, x FROM d) SELECT round(sum(v), 4) AS total FROM (SELECT day, var_samp(x) AS v FROM c GROUP BY day)")
+@query("eof_tmode", "WITH RECURSIVE " + _variances(f"{DAYS}, cells AS (SELECT kind AS r, day::VARCHAR AS f, x - avg(x) OVER (PARTITION BY day) AS x FROM d)", 5, 4, dual=True))
 def eof_tmode(spark, sf_dir):
-    return rounded(O.EOF("all").fit(days(spark, sf_dir), "kind").explained_variance().agg(F.sum("value").alias("total")), 4, "total")
+    return rounded(O.EOF(4).fit(days(spark, sf_dir), "kind").explained_variance(), 3)
 
 
 @query("eof_embeddings", """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
@@ -297,10 +303,10 @@ def hilbert_eof_padded(spark, sf_dir):
     return rounded(O.HilbertEOF(2).fit(days(spark, sf_dir), "day").components_amplitude(), 6)
 
 
-@query("extended_eof", f"""WITH {DAYS}, r AS (SELECT kind, x, lead(x, 2) OVER k AS y, lead(x, 4) OVER k AS z FROM d WINDOW k AS (PARTITION BY kind ORDER BY day)),
-v AS (SELECT var_samp(x) + var_samp(y) + var_samp(z) AS v FROM r WHERE z IS NOT NULL GROUP BY kind) SELECT round(sum(v), 4) AS total FROM v""")
+@query("extended_eof", "WITH RECURSIVE " + _variances(f"""{DAYS}, e AS (SELECT day::VARCHAR AS r, kind, x, lead(x, 2) OVER k AS y, lead(x, 4) OVER k AS z FROM d WINDOW k AS (PARTITION BY kind ORDER BY day)),
+u AS (SELECT r, unnest([kind || '-0', kind || '-1', kind || '-2']) AS f, unnest([x, y, z]) AS x FROM e WHERE z IS NOT NULL), cells AS (SELECT r, f, x - avg(x) OVER (PARTITION BY f) AS x FROM u)""", 15, 15))
 def extended_eof(spark, sf_dir):
-    return rounded(O.ExtendedEOF("all", tau=2, embedding=3).fit(days(spark, sf_dir), "day").explained_variance().agg(F.sum("value").alias("total")), 4, "total")
+    return rounded(O.ExtendedEOF("all", tau=2, embedding=3).fit(days(spark, sf_dir), "day").explained_variance(), 3)
 
 
 @query("extended_eof_scores", f"""WITH {DAYS}, r AS (SELECT day, kind, x, lead(x, 2) OVER k AS y, lead(x, 4) OVER k AS z FROM d WINDOW k AS (PARTITION BY kind ORDER BY day)),
