@@ -555,7 +555,23 @@ for _name in ("ComplexCPCCA", "HilbertCPCCA", "ComplexMCA", "HilbertMCA"):
     _rotated_query(f"{_name.replace('CPCCA', '_cpcca').replace('MCA', '_mca').lower()}_rotator", _name)
 
 
-@query("cpcca_fractions")
+def _dot(a: str, b: str, k: int) -> str:
+    return f"list_sum(list_transform(range({k}), lambda y: {a}[y + 1] * {b}[y + 1]))"
+
+
+# of each mode, what is left of the covariances when I - a b' (of x) and I - c d' (of y) take its part out
+_FRACTIONS = ",\n".join([
+    _real((0.2, 0.2)), f"tv AS (SELECT {M.power('ex', 0.4, 2)} AS ix, {M.power('ey', 0.4, 3)} AS iy, {M.power('ex', -0.5, 2)} AS root FROM ex, ey)",
+    "qs AS (SELECT mode, tx, ty, ix, iy, root, [u[mode], u[3 + mode]] AS q1, [v[mode], v[3 + mode], v[6 + mode]] AS q2 FROM svd, tv, (SELECT unnest([1, 2])::INT AS mode))",
+    f"t0 AS (SELECT mode, root, {M.mm('tx', 'q1', 2, 2, 1)} AS a, {M.mm('ix', 'q1', 2, 2, 1)} AS b, {M.mm('ty', 'q2', 3, 3, 1)} AS c, {M.mm('iy', 'q2', 3, 3, 1)} AS d FROM qs)",
+    "t1 AS (SELECT t0.*, gxx.m AS gx, gyy.m AS gy, gxy.m AS gz FROM t0, gxx, gyy, gxy)",
+    f"t2 AS (SELECT *, {M.mm('gx', 'a', 2, 2, 1)} AS ca, {M.mm('gy', 'c', 3, 3, 1)} AS cc, {M.mm('gz', 'c', 2, 3, 1)} AS xc, {M.mm('a', 'gz', 1, 2, 3)} AS ax FROM t1)",
+    f"t3 AS (SELECT *, {_dot('a', 'xc', 2)} AS s FROM t2)", "t4 AS (SELECT *, list_transform(range(6), lambda e: gz[e + 1] - b[e // 3 + 1] * ax[e % 3 + 1] - xc[e // 3 + 1] * d[e % 3 + 1] + b[e // 3 + 1] * s * d[e % 3 + 1]) AS rest FROM t3)",
+    f"t5 AS (SELECT *, {M.mm('root', 'rest', 2, 2, 3)} AS r1, {M.mm('root', 'gz', 2, 2, 3)} AS r0 FROM t4)",
+])
+
+
+@query("cpcca_fractions", f"WITH RECURSIVE {_FRACTIONS} SELECT mode, round((2 * {_dot('b', 'ca', 2)} - {_dot('a', 'ca', 2)} * {_dot('b', 'b', 2)}) / (gx[1] + gx[4]), 7) AS x_by_x, round((2 * {_dot('d', 'cc', 3)} - {_dot('c', 'cc', 3)} * {_dot('d', 'd', 3)}) / (gy[1] + gy[5] + gy[9]), 7) AS y_by_y, round(1 - {_dot('r1', 'r1', 6)} / {_dot('r0', 'r0', 6)}, 7) AS y_by_x FROM t5")
 def cpcca_fractions(spark, sf_dir):
     m = O.CPCCA(2, use_pca=False).fit(*both(spark, sf_dir), "day")
     named = {"x_by_x": m.fraction_variance_X_explained_by_X(), "y_by_y": m.fraction_variance_Y_explained_by_Y(), "y_by_x": m.fraction_variance_Y_explained_by_X()}
@@ -563,7 +579,7 @@ def cpcca_fractions(spark, sf_dir):
     for name, df in named.items():
         part = df.select("mode", F.col("value").alias(name))
         out = part if out is None else out.join(part, "mode")
-    return out
+    return rounded(out, 7, *named)
 
 
 # pseudo-scores: x w1 g, g the covariances of both scores over the variance of the first
