@@ -203,13 +203,15 @@ def _compact(terms: Terms, least: int):
 
 def _apply_gram(compact: DataFrame, own: np.ndarray, idf: np.ndarray, q: np.ndarray, keys: np.ndarray, least: int) -> np.ndarray:
     """A'(A q) for the passages of the corpus and the keys' own rows; `own` numbers the terms of the compact copy, -1 for those of other groups."""
-    basis = (idf[:, None] * q).astype(np.float32)
+    basis, some = (idf[:, None] * q).astype(np.float32), bool((own < 0).any())
 
     def work(batch):
         out = np.zeros(q.shape, np.float32)
         for blocks, ks in zip(batch.column(0), batch.column(1), strict=True):
             block, k = np.frombuffer(blocks.as_py(), np.int64), own[np.frombuffer(ks.as_py(), np.int32)]
-            w = Windows(block[k >= 0], k[k >= 0])
+            if some:
+                block, k = block[k >= 0], k[k >= 0]
+            w = Windows(block, k)
             z = w.back(w.project(basis, w.rich(least)))
             for c in range(0, z.shape[1], 16):
                 add = np.ascontiguousarray((z[:, c : c + 16][w.of] * idf[w.term][:, None]).T)
@@ -305,7 +307,7 @@ class Judge:
                 mask, n, amask, an, own = self._aligner(it)
                 lo, hi = max(int(first[r]), start - n), min(int(first[r + 1]), start + max(0, n // 4 - BLOCK) + 2 * BLOCK + n)
                 a, b = np.searchsorted(known, (lo, hi))
-                if np.isin(word[a:b], own).sum() < low * n:  # no order can align as many
+                if (own[np.minimum(np.searchsorted(own, word[a:b]), len(own) - 1)] == word[a:b]).sum() < low * n:  # no order can align as many
                     continue
                 near = h[known[a:b]].tolist()
                 share = lcs_length(mask, n, near) / n

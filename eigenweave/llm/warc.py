@@ -75,7 +75,7 @@ def plain_text(html: Column) -> Column:
 
 def one_line(value: Column) -> Column:
     """A header's value: null is empty, line breaks are spaces."""
-    return F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[\r\n]+", " ")
+    return F.translate(F.coalesce(value.cast("string"), F.lit("")), "\r\n", "  ")
 
 
 def _lines(prefix: str, headers: Column) -> Column:
@@ -272,7 +272,7 @@ _SQL_TEXT = f"trim(regexp_replace(regexp_replace({_SQL_TEXT}, {_quoted(_SPACES)}
 _SQL_TITLE = f"trim(regexp_replace({_sql_decoded(f'regexp_extract(payload, {_quoted(_TITLE)}, 1)')}, '\\s+', ' ', 'g'))"
 OP1_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(page_id::VARCHAR, '') AS pid, coalesce(url, '') AS url, coalesce(html, '') AS payload FROM pages),
-q AS (SELECT *, regexp_replace(url, '[\\r\\n]+', ' ', 'g') AS target_uri, 'sha256:' || sha256(payload) AS source_digest FROM p),
+q AS (SELECT *, translate(url, {_NL}, '  ') AS target_uri, 'sha256:' || sha256(payload) AS source_digest FROM p),
 r AS (SELECT *, {_sql_id("'response'", "pid", "url", "source_digest")} AS refers_to FROM q),
 k AS (
   SELECT page_id, refers_to, target_uri, source_digest, 'metadata' AS warc_type, 'application/warc-fields' AS ctype,
