@@ -37,7 +37,7 @@ def queries() -> dict:
     out = {name: Q.QUERIES[name] for name in ("eof_explained_variance", "eof_components", "eof_scores", "eof_inverse_transform", "eof_embeddings", "hilbert_eof", "extended_eof", "pop_eigenvalues", "opa_decorrelation_time", "gwpca_components", "eof_varimax", "complex_mca_singular_values", "hilbert_cca_singular_values", "sparse_pca_components", "eof_promax", "eof_bootstrap", "mca_singular_values", "cca_singular_values", "mca_rotator", "multi_cca_correlations")}
     out["eof_grid_2000x2500"] = lambda spark, _: O.EOF(10, use_coslat=True).fit(field(spark, 2000, 50, 1), "time").scores()
     out["mca_grid_2000x900"] = lambda spark, _: O.MCA(5, n_pca_modes=50).fit(field(spark, 2000, 30, 2), field(spark, 2000, 30, 3), "time").scores()[0]
-    out["eof_packed_10000x20000"] = lambda spark, _: O.EOF(2).fit(from_arrays(vectors(spark, 10_000, 20_000), ("time",), "v"), "time").scores()
+    out["eof_packed_10000x6000"] = lambda spark, _: O.EOF(2).fit(from_arrays(vectors(spark, 10_000, 6000), ("time",), "v"), "time").scores()
     out["eof_packed_10000x2000"] = lambda spark, _: O.EOF(2).fit(from_arrays(vectors(spark, 10_000, 2000), ("time",), "v"), "time").scores()
     return out
 
