@@ -40,7 +40,7 @@ def polar(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def varimax(x: np.ndarray, gamma: float = 1.0, max_iter: int = 1000, rtol: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
-    """Orthomax rotation of row-normalised loadings: (rotated loadings, rotation)."""
+    """Orthomax rotation of row-normalised loadings: (rotated loadings, rotation). Rounds of the usual fixed point; if they creep, turns of pairs finish it."""
     n, k = x.shape
     if k < 2:
         raise ValueError("a rotation needs at least two modes")
@@ -55,7 +55,35 @@ def varimax(x: np.ndarray, gamma: float = 1.0, max_iter: int = 1000, rtol: float
         if now == 0 or abs(now - before) / now < rtol:
             return (unit @ turn) * size, turn
         before = now
-    raise RuntimeError(f"the rotation did not settle in {max_iter} rounds")
+    turn = planar_turns(unit, turn, gamma, max_iter, rtol)
+    return (unit @ turn) * size, turn
+
+
+def planar_turns(unit: np.ndarray, turn: np.ndarray, gamma: float, max_iter: int, rtol: float) -> np.ndarray:
+    """The orthomax rotation from `turn` on, by sweeps over pairs of columns. Two columns need one turn, however flat the criterion is; of more, each is turned at most `max_iter` times.
+
+    A turn of two columns x, y is a unit vector u: |x|^2 - |y|^2 becomes u r, with r = (|x|^2 - |y|^2, 2 Re x* y, 2 Im x* y) in each row. The criterion is a
+    quadratic form of u, so that its greatest eigenvector is the best turn of the pair.
+    """
+    n, k = unit.shape
+    form = lambda r: (r - r.mean(axis=0)).T @ (r - r.mean(axis=0)) + (1 - gamma) / n * np.outer(r.sum(axis=0), r.sum(axis=0))
+    for _ in range(max_iter // (k - 1)):
+        b, gain = unit @ turn, 0.0
+        for i in range(k):
+            for j in range(i + 1, k):
+                x, y = b[:, i], b[:, j]
+                z = 2 * x.conj() * y
+                m = form(np.stack([np.abs(x) ** 2 - np.abs(y) ** 2, z.real, z.imag] if np.iscomplexobj(b) else [x**2 - y**2, z], axis=1))
+                values, vectors = np.linalg.eigh(m)
+                u = vectors[:, -1] * (1.0 if vectors[0, -1] >= 0 else -1.0)
+                c = np.sqrt((1 + u[0]) / 2)
+                s = (u[1] - 1j * u[2] if len(u) > 2 else u[1]) / (2 * c)
+                pair = np.array([[c, -np.conj(s)], [s, c]])
+                b[:, [i, j]], turn[:, [i, j]] = b[:, [i, j]] @ pair, turn[:, [i, j]] @ pair
+                gain += (values[-1] - m[0, 0]) / 2
+        if gain <= rtol * np.trace(form(np.abs(b) ** 2)):
+            return turn
+    raise RuntimeError(f"the rotation did not settle in {max_iter} rounds, nor by turns of pairs")
 
 
 def promax(x: np.ndarray, power: float = 1, max_iter: int = 1000, rtol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

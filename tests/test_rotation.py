@@ -2,9 +2,9 @@ import numpy as np
 import pytest
 
 from eigenweave import operators as O
-from eigenweave.functions.linalg import promax, varimax
+from eigenweave.functions.linalg import planar_turns, promax, varimax
 
-from .data import grid, long, pivot, values
+from .data import grid, long, pivot, table, values
 
 
 def test_varimax_maximises_and_stays_orthogonal():
@@ -130,3 +130,49 @@ def test_hilbert_rotators(spark, model, rotator):
     assert simplicity(start @ m.data["rotation_matrix"]) >= max(simplicity(start @ u) for u in GRID) - 1e-9
     with pytest.raises(NotImplementedError):
         m.transform(*data)
+
+
+def all_but_one_pattern(n, k, kind=float):
+    """Loadings that differ little from row to row: the usual rounds creep."""
+    rng = np.random.default_rng(9)
+    draw = lambda *shape: rng.normal(size=shape) + (1j * rng.normal(size=shape) if kind is complex else 0)
+    return np.concatenate([np.ones((n, 1)), np.zeros((n, k - 1))], axis=1) + 1e-3 * draw(n, k)
+
+
+@pytest.mark.parametrize("kind", [float, complex])
+@pytest.mark.parametrize("k", [2, 3])
+def test_creeping_rotations_settle(kind, k):
+    x = all_but_one_pattern(12, k, kind)
+    y, turn = varimax(x, rtol=1e-14)
+    assert np.allclose(turn.conj().T @ turn, np.eye(k), atol=1e-12) and np.allclose(x @ turn, y, atol=1e-12)
+    best = simplicity(y)
+    rng = np.random.default_rng(10)
+    for size in (1e-4, 1e-2, 1.0):
+        for _ in range(100):
+            q, _ = np.linalg.qr(turn + size * (rng.normal(size=(k, k)) + (1j * rng.normal(size=(k, k)) if kind is complex else 0)))
+            assert simplicity(x @ q) <= best * (1 + 1e-9)
+    if k == 2:
+        turns = GRID if kind is complex else [unitary(t, 0.0).real for t in np.linspace(0, np.pi / 2, 400)]
+        assert best >= max(simplicity(x @ u) for u in turns)
+
+
+def test_pairs_go_where_the_rounds_go():
+    rng = np.random.default_rng(11)
+    for x in (rng.normal(size=(20, 3)), rng.normal(size=(20, 3)) + 1j * rng.normal(size=(20, 3))):
+        y, turn = varimax(x, rtol=1e-4)
+        exact, _ = varimax(x, rtol=1e-14)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        assert np.allclose(np.abs(x @ planar_turns(unit, turn, 1.0, 1000, 1e-14)), np.abs(exact), atol=1e-5)
+
+
+def test_hilbert_mca_rotator_of_fields_with_one_common_course(spark):
+    t, rng = np.arange(33.0), np.random.default_rng(12)
+    course = np.minimum(np.minimum(t, 32 - t), 3.0)[:, None]
+    a, b = (1000 * course + rng.normal(size=(33, p)) for p in (2, 3))
+    base = O.HilbertMCA(2, use_pca=False).fit(table(spark, a), table(spark, b, ("time", "g")), "time")
+    m = O.HilbertMCARotator(2).fit(base)
+    start = np.concatenate([s.physical(base.data[f"components{k}"]) for k, s in enumerate(base.sides, 1)]) * np.sqrt(base.data["singular_values"])
+    turned = start @ m.data["rotation_matrix"]
+    assert simplicity(turned) >= max(simplicity(start @ u) for u in GRID)
+    squared = (np.linalg.norm(turned[:2], axis=0) * np.linalg.norm(turned[2:], axis=0)) ** 2
+    assert np.allclose(values(m.squared_covariance()), sorted(squared, reverse=True))
